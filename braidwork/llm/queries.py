@@ -6,6 +6,10 @@ import importlib
 
 # Module, query.
 _NAMES = [
+    ("op3_tokens", "op3_token_counts"),
+    ("op4_decontaminate", "op4_winnowing"),
+    ("op5_mixing", "op5_systematic_mix"),
+    ("op6_simhash", "op6_simhash_covering"),
     ("op9_quality", "op9_quality_cascade"),
 ]
 
