@@ -6,6 +6,7 @@ import importlib
 
 # Module, query.
 _NAMES = [
+    ("op1_pii", "op1_weak_pii"),
     ("op3_tokens", "op3_token_counts"),
     ("op4_decontaminate", "op4_winnowing"),
     ("op5_mixing", "op5_systematic_mix"),
