@@ -11,7 +11,9 @@ _NAMES = [
     ("op4_decontaminate", "op4_winnowing"),
     ("op5_mixing", "op5_systematic_mix"),
     ("op6_simhash", "op6_simhash_covering"),
+    ("op7_chat", "op7_prefix_targets"),
     ("op9_quality", "op9_quality_cascade"),
+    ("op10_extract", "op10_template_extraction"),
 ]
 
 
