@@ -37,12 +37,10 @@ def token_set(a: str | None, b: str | None) -> float:
     return max(scores)
 
 
-@F.pandas_udf("double")
-def token_set_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
-    known: dict[tuple, float] = {}
-    out = []
-    for x, y in zip(a, b, strict=True):
-        if (x, y) not in known:
-            known[x, y] = token_set(x, y)
-        out.append(known[x, y])
-    return pd.Series(out, dtype="float64")
+def token_set_ratio(a, b):
+    """token_set of two columns. The UDF is made on the driver, as workers that import this module cannot."""
+    def ratio(a: pd.Series, b: pd.Series) -> pd.Series:
+        known = {pair: token_set(*pair) for pair in set(zip(a, b, strict=True))}
+        return pd.Series([known[pair] for pair in zip(a, b, strict=True)], dtype="float64")
+
+    return F.pandas_udf(ratio, "double")(a, b)

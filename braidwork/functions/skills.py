@@ -77,10 +77,12 @@ def fuzzy(name: str) -> str | None:
     return found
 
 
-@F.pandas_udf("string")
-def fuzzy_skill(name: pd.Series) -> pd.Series:
+def fuzzy_skill(column) -> Column:
     """The canonical skill of the most similar known name, first in the table on ties, or null."""
-    return name.map({x: fuzzy(x) for x in set(name) if x is not None})
+    def run(name: pd.Series) -> pd.Series:
+        return name.map({x: fuzzy(x) for x in set(name) if x is not None})
+
+    return F.pandas_udf(run, "string")(column)
 
 
 def skill_table(raw: DataFrame, column: str) -> DataFrame:

@@ -15,8 +15,14 @@ from braidwork.functions.similarity import token_set
 from braidwork.functions.text import blank, safe_lower, trim_ws
 
 
-@F.pandas_udf("string")
-def scalar_severity(a: pd.Series, b: pd.Series) -> pd.Series:
+def _severity(one):
+    def run(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([one(x, y) for x, y in zip(a, b, strict=True)], dtype=object)
+
+    return F.pandas_udf(run, "string")
+
+
+def scalar_severity(a: Column, b: Column) -> Column:
     """LOW if equal but for case, MEDIUM from a similarity of 50, else HIGH; null if either is null."""
     def one(x, y):
         if x is None or y is None:
@@ -24,17 +30,16 @@ def scalar_severity(a: pd.Series, b: pd.Series) -> pd.Series:
         x, y = x.strip().lower(), y.strip().lower()
         return "LOW" if x == y else "MEDIUM" if token_set(x, y) >= 50 else "HIGH"
 
-    return pd.Series([one(x, y) for x, y in zip(a, b, strict=True)], dtype=object)
+    return _severity(one)(a, b)
 
 
-@F.pandas_udf("string")
-def name_severity(a: pd.Series, b: pd.Series) -> pd.Series:
+def name_severity(a: Column, b: Column) -> Column:
     """As scalar_severity, with 60, or a common token, for MEDIUM; missing names are empty."""
     def one(x, y):
         x, y = (x or "").strip().lower(), (y or "").strip().lower()
         return "LOW" if x == y else "MEDIUM" if token_set(x, y) >= 60 or set(x.split()) & set(y.split()) else "HIGH"
 
-    return pd.Series([one(x, y) for x, y in zip(a, b, strict=True)], dtype=object)
+    return _severity(one)(a, b)
 
 
 def email_severity(a: Column, b: Column) -> Column:
@@ -102,7 +107,7 @@ def review_reasons(cfg: EngineConfig, name_severity_: Column, email_severity_: C
     """Reasons for a manual review, in order; none if empty. Columns may be null."""
     r, t = cfg.review, cfg.matching.merge_decision_threshold
     high = F.coalesce((name_severity_ == "HIGH").cast("int"), F.lit(0)) + F.coalesce((email_severity_ == "HIGH").cast("int"), F.lit(0))
-    fixed = lambda c: F.format_number(c, "0.000")
+    fixed = lambda c: F.format_string("%.3f", c)
     on = lambda c: F.coalesce(c, F.lit(False))
     return F.array_compact(F.array(
         F.when(on(name_severity_ == "HIGH"), F.lit("HIGH-severity conflict on identity field 'full_name'")),
