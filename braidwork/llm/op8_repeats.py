@@ -94,14 +94,16 @@ def _pieces(batches, more: bool):
         yield held
 
 
-def _split(bucket, n):
-    """Order and cuts that deal entries out to n buckets."""
+def _split(bucket):
+    """(number, entries) for each bucket that has some."""
     import numpy as np
 
+    if not len(bucket):
+        return []
     order = np.argsort(bucket, kind="stable")
     sorted_ = bucket[order]
-    cuts = np.flatnonzero(np.append(True, sorted_[1:] != sorted_[:-1])) if len(order) else np.zeros(0, np.int64)
-    return order, cuts, sorted_[cuts] if len(order) else sorted_
+    cuts = np.flatnonzero(np.append(True, sorted_[1:] != sorted_[:-1]))
+    return list(zip(sorted_[cuts].tolist(), np.split(order, cuts[1:]), strict=True))
 
 
 def _rows(columns: dict, types: dict):
@@ -134,10 +136,8 @@ def _send_names(n_buckets: int):
             for some, below in ((first, False), (shared, True)):
                 a, b, c = name[some], ids[some], shared[some]
                 bucket = ((b % n_buckets if below else (a >> np.uint64(7)) % np.uint64(n_buckets)).astype(np.int64))
-                order, cuts, which = _split(bucket, n_buckets)
-                for k, (x, y) in enumerate(zip(cuts, np.append(cuts[1:], len(order)), strict=True)):
-                    part = order[x:y]
-                    out["bucket"].append(-1 - int(which[k]) if below else int(which[k]))
+                for number, part in _split(bucket):
+                    out["bucket"].append(-1 - number if below else number)
                     out["ids"].append(b[part].tobytes())
                     out["names"].append(a[part].tobytes())
                     out["shared"].append(c[part].tobytes())
@@ -202,10 +202,8 @@ def _send_contexts(n_buckets: int):
                 p = piece[which]
                 values = {"ids": ids[p], "rows": rows[p], "starts": start[which] + offsets[p], "sizes": windows[which] + LENGTH - 1, "names": name[which]}
                 bucket = (values["ids"] % n_buckets if below else ((values["names"] >> np.uint64(7)) % np.uint64(n_buckets)).astype(np.int64))
-                order, first, number = _split(bucket, n_buckets)
-                for k, (a, b) in enumerate(zip(first, np.append(first[1:], len(order)), strict=True)):
-                    part = order[a:b]
-                    out["bucket"].append(-1 - int(number[k]) if below else int(number[k]))
+                for number, part in _split(bucket):
+                    out["bucket"].append(-1 - number if below else number)
                     for c, v in values.items():
                         out[c].append(v[part].tobytes())
                     out["bytes"].append(b"" if below else b"".join([contexts[j] for j in part.tolist()]))
