@@ -193,8 +193,10 @@ def extract(pages: DataFrame, page: str = "page_id", url: str = "url", html: str
     with_template = p.join(_small(found), "host", "left")
     slots = with_template.select("host", "template", "html").mapInArrow(_slots, "host string, slot string, inside boolean, n long, digest long")
     per = slots.groupBy("host", "slot", "inside").agg(F.sum("n").alias("n"), F.count("*").alias("pages"), (F.min("digest") != F.max("digest")).alias("varies"))
-    top = per.groupBy("host").agg(F.max(F.when(F.col("varies") | (F.col("pages") == 1), F.col("n"))).alias("top"))
-    keep = per.join(top, "host").where((F.col("varies") | (F.col("pages") == 1)) & (10 * F.col("n") >= F.col("top"))).groupBy("host").agg(F.collect_set("slot").alias("keep"))
+    # Where nothing varies, as with copies of one page only, nothing tells boilerplate from text and all slots count.
+    hosts = per.groupBy("host").agg(F.max("varies").alias("any"), F.max(F.when(F.col("varies") | (F.col("pages") == 1), F.col("n"))).alias("top"))
+    counts = F.col("varies") | (F.col("pages") == 1)
+    keep = per.join(hosts, "host").where(~F.col("any") | (counts & (10 * F.col("n") >= F.col("top")))).groupBy("host").agg(F.collect_set("slot").alias("keep"))
     keep = written(keep, "host-slots")
     ready = with_template.join(_small(keep), "host", "left").select(F.col("page").alias("page_id"), "url", "html", "template", "keep")
     return ready.mapInArrow(_texts, f"page_id {kind}, url string, text string")
