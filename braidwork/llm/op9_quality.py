@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from braidwork.llm.common import table, text_of, with_gram_hashes, with_words
+from braidwork.shared import written
 
 WINDOW = 8
 SYMBOLS = "#*$%&|<>"
@@ -84,7 +85,10 @@ def measure(docs: DataFrame, text: str = "text", order: list[str] | None = None)
 
 def filter_documents(docs: DataFrame, text: str = "text") -> DataFrame:
     """The documents that no rule rejects, with their own columns."""
-    return measure(docs, text).where("kept").select(*docs.columns)
+    # The verdicts are written before the filter reads them: pushed below the measures, a filter would repeat each one's
+    # whole chain of expressions at every use of it.
+    judged = written(measure(docs, text).select(*docs.columns, F.col("kept").alias("_kept")), "quality")
+    return judged.where("_kept").drop("_kept")
 
 
 def op9_quality_cascade(spark, sf_dir: str) -> DataFrame:
