@@ -3,13 +3,13 @@
 Byte strings of LENGTH that start in a document with a smaller id are found exactly, without moving a row per byte:
 
 1. Each LENGTH-byte window is named after the least hash of its Q-grams; windows in a row with the same name form a run
-   (about one per 18 bytes). Equal windows have equal names, wherever they stand.
-2. Names that occur in one document only cannot repeat. They are sorted out per name bucket; of a name that several
-   documents of a chunk share, one row is sent, so that a passage in a third of all documents costs a row per chunk.
-3. For the other runs the bytes under their windows go to the bucket of their name. Equal contexts fold into the one with the least
-   id. Where a name has several different contexts, bucket-pointer refinement decides: initial buckets are 8-grams; they are refined
-   by the pair of their own number and the number of the bucket 8, then 16, then 18 bytes on, each round reusing
-   the numbers of the last, to depths of 16, 32 and 50. Windows in one final bucket are equal; the least id keeps its own.
+   (about one per 18 bytes). Equal windows have equal names, wherever they stand. A run's bytes have a code, a hash of their own.
+2. Runs meet in the bucket of their name; a chunk sends one row, that of its least id, for all its runs with the same name and code, so
+   that a passage in a third of all documents costs a row per chunk. Runs with equal name and code (96 bits) are equal: all but
+   the least id's are covered whole. Only where one name has several codes, the least id of each code is asked for its bytes.
+3. Bucket-pointer refinement decides those: initial buckets are 8-grams; they are refined by the pair of their own number and
+   the number of the bucket 8, then 16, then 18 bytes on, each round reusing the numbers of the last, to depths of 16, 32 and 50.
+   Windows in one final bucket are equal; the least id keeps its own.
 4. The removed intervals join the texts, which are cut and hashed.
 
 Defined results: null text is empty; null ids rank last; rows that repeat an id are documents of one rank, none removes from the other;
@@ -51,14 +51,14 @@ def _names(raw: bytes):
 
 
 def _runs(pieces: list[tuple[int, bytes]]):
-    """pieces (offset in its document, bytes): arrays (piece, start in the piece, number of windows, name) of their runs."""
+    """pieces (offset in its document, bytes): arrays (piece, start in the piece, number of windows, name, code) of their runs; names and codes have 48 bits."""
     import numpy as np
 
     raw = b"".join(b for _, b in pieces)
     lens = np.array([len(b) for _, b in pieces], np.int64)
     none = np.zeros(0, np.int64)
     if len(raw) < LENGTH:
-        return none, none, none, none.astype(np.uint64)
+        return none, none, none, none.astype(np.uint64), none.astype(np.uint64)
     names = _names(raw)
     ends = np.cumsum(lens)
     piece = np.repeat(np.arange(len(pieces)), lens)[: len(names)]
@@ -68,7 +68,30 @@ def _runs(pieces: list[tuple[int, bytes]]):
     # A run ends before the next run or the first window that leaves its piece.
     at = np.flatnonzero(first & inside)
     stop = np.minimum(np.append(np.flatnonzero(first)[1:], len(names))[np.searchsorted(np.flatnonzero(first), at)], ends[piece[at]] - LENGTH + 1)
-    return piece[at], at - (ends - lens)[piece[at]], stop - at, names[at]
+    # Hash of each run's bytes: differences of prefix sums of a polynomial, shifted back to its start.
+    with np.errstate(over="ignore"):
+        root = 0x9E3779B97F4A7C15
+        spread = np.random.default_rng(50).integers(1, 1 << 63, 256, dtype=np.uint64)
+        power = np.cumprod(np.full(len(raw), root, np.uint64))
+        sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(spread[np.frombuffer(raw, np.uint8)] * power)))
+        back = np.cumprod(np.full(len(raw), pow(root, -1, 1 << 64), np.uint64))
+        code = (sums[stop + LENGTH - 1] - sums[at]) * back[at] + (stop - at).astype(np.uint64)
+        code = (code ^ (code >> np.uint64(32))) * np.uint64(0xBF58476D1CE4E5B9)
+    return piece[at], at - (ends - lens)[piece[at]], stop - at, names[at] >> np.uint64(16), code >> np.uint64(16)
+
+
+def _packed(values) -> bytes:
+    """Eight-byte integers, first bytes first: the high ones are mostly zero and compress away."""
+    import numpy as np
+
+    return np.ascontiguousarray(np.ascontiguousarray(values).view(np.uint8).reshape(-1, 8).T).tobytes()
+
+
+def _unpacked(blobs: list[bytes], kind):
+    import numpy as np
+
+    parts = [np.ascontiguousarray(np.frombuffer(b, np.uint8).reshape(8, -1).T).view(kind).ravel() for b in blobs if b]
+    return np.concatenate(parts) if parts else np.zeros(0, kind)
 
 
 def _pieces(batches, more: bool):
@@ -110,7 +133,7 @@ def _rows(columns: dict, types: dict):
     return pa.record_batch([pa.array(columns[c], t) for c, t in types.items()], names=list(types))
 
 
-NAMED = {"bucket": pa.int32(), "ids": pa.binary(), "names": pa.binary(), "shared": pa.binary()}
+NAMED = {"bucket": pa.int32(), "ids": pa.binary(), "names": pa.binary(), "codes": pa.binary()}
 
 
 def _send_names(n_buckets: int):
@@ -118,51 +141,51 @@ def _send_names(n_buckets: int):
         import numpy as np
 
         for held in _pieces(batches, False):
-            piece, _, _, name = _runs([(x[2], x[3]) for x in held])
-            ids = np.array([x[0] for x in held], np.int64)[piece]
-            order = np.lexsort((ids, name))
-            name, ids = name[order], ids[order]
-            keep = np.ones(len(name), bool)
-            keep[1:] = (name[1:] != name[:-1]) | (ids[1:] != ids[:-1])
-            name, ids = name[keep], ids[keep]  # a row per name and document
+            piece, _, _, name, code = _runs([(x[2], x[3]) for x in held])
             if not len(name):
                 continue
+            ids = np.array([x[0] for x in held], np.int64)[piece]
+            order = np.lexsort((ids, code, name))
+            name, code, ids = name[order], code[order], ids[order]
             first = np.ones(len(name), bool)
-            first[1:] = name[1:] != name[:-1]
-            group = np.cumsum(first) - 1
-            shared = (np.bincount(group) > 1)[group]
+            first[1:] = (name[1:] != name[:-1]) | (code[1:] != code[:-1])
+            least = ids[np.flatnonzero(first)][np.cumsum(first) - 1]
             out = {c: [] for c in NAMED}
-            # To the name's bucket: one row of each name. Names known to be shared go to the documents' own buckets, below zero.
-            for some, below in ((first, False), (shared, True)):
-                a, b, c = name[some], ids[some], shared[some]
-                bucket = ((b % n_buckets if below else (a >> np.uint64(7)) % np.uint64(n_buckets)).astype(np.int64))
-                for number, part in _split(bucket):
+            # The least id of each name and code goes to the name's bucket; the others are known to be covered: to their own buckets, below zero.
+            for some, below in ((first, False), (ids > least, True)):
+                i, n, c = ids[some], name[some], code[some]
+                for number, part in _split((i % n_buckets) if below else (n % np.uint64(n_buckets)).astype(np.int64)):
                     out["bucket"].append(-1 - number if below else number)
-                    out["ids"].append(b[part].tobytes())
-                    out["names"].append(a[part].tobytes())
-                    out["shared"].append(c[part].tobytes())
+                    out["ids"].append(_packed(i[part]))
+                    out["names"].append(b"" if below else _packed(n[part]))
+                    out["codes"].append(_packed(c[part]))
             yield _rows(out, NAMED)
 
     return send
 
 
-def _several(t: pa.Table) -> pa.Table:
-    """(id, name) of the names that more than one document has, of one bucket."""
+def _told(t: pa.Table) -> pa.Table:
+    """(id, told) of one bucket: twice the code, plus one if the run is covered; else its bytes are asked for."""
     import numpy as np
 
-    ids = np.frombuffer(b"".join(t["ids"].to_pylist()), np.int64)
-    names = np.frombuffer(b"".join(t["names"].to_pylist()), np.uint64)
-    if t["bucket"][0].as_py() >= 0:
-        shared = np.frombuffer(b"".join(t["shared"].to_pylist()), bool)
-        order = np.argsort(names, kind="stable")
-        ids, names, shared = ids[order], names[order], shared[order]
-        first = np.ones(len(names), bool)
-        first[1:] = names[1:] != names[:-1]
-        group = np.cumsum(first) - 1
-        at = np.flatnonzero(first)
-        several = (np.minimum.reduceat(ids, at) != np.maximum.reduceat(ids, at)) | np.logical_or.reduceat(shared, at)
-        ids, names = ids[several[group] & ~shared], names[several[group] & ~shared]
-    return pa.table({"id": pa.array(ids, pa.int64()), "name": pa.array(names.view(np.int64), pa.int64())})
+    ids, codes = _unpacked(t["ids"].to_pylist(), np.int64), _unpacked(t["codes"].to_pylist(), np.uint64)
+    if t["bucket"][0].as_py() < 0:
+        told = codes * np.uint64(2) + np.uint64(1)
+    else:
+        names = _unpacked(t["names"].to_pylist(), np.uint64)
+        order = np.lexsort((ids, codes, names))
+        ids, codes, names = ids[order], codes[order], names[order]
+        new_name = np.ones(len(ids), bool)
+        new_name[1:] = names[1:] != names[:-1]
+        new_code = new_name.copy()
+        new_code[1:] |= codes[1:] != codes[:-1]
+        group, at = np.cumsum(new_name) - 1, np.flatnonzero(new_name)
+        least = ids[np.flatnonzero(new_code)][np.cumsum(new_code) - 1]
+        covered = ids > least
+        mixed = (np.bincount(group, weights=new_code) > 1) & (np.minimum.reduceat(ids, at) != np.maximum.reduceat(ids, at)) if len(ids) else np.zeros(0, bool)
+        keep = covered | (mixed[group] if len(ids) else covered)
+        ids, told = ids[keep], codes[keep] * np.uint64(2) + covered[keep].astype(np.uint64)
+    return pa.table({"id": pa.array(ids, pa.int64()), "told": pa.array(told.astype(np.int64), pa.int64())})
 
 
 CONTEXTS = {"bucket": pa.int32(), "ids": pa.binary(), "rows": pa.binary(), "starts": pa.binary(), "sizes": pa.binary(), "names": pa.binary(), "bytes": pa.binary()}
@@ -173,40 +196,47 @@ def _send_contexts(n_buckets: int):
         import numpy as np
 
         for held in _pieces(batches, True):
-            held.sort(key=lambda x: x[0])
-            piece, start, windows, name = _runs([(x[2], x[3]) for x in held])
+            piece, start, windows, name, code = _runs([(x[2], x[3]) for x in held])
             if not len(name):
                 continue
             cuts = np.searchsorted(piece, np.arange(len(held) + 1))
-            wanted = np.zeros(len(name), bool)
+            covered, asked = np.zeros(len(name), bool), np.zeros(len(name), bool)
             for k, x in enumerate(held):
                 a, b = cuts[k], cuts[k + 1]
-                if b > a and x[4] is not None and len(x[4]):
-                    wanted[a:b] = np.isin(name[a:b], x[4].to_numpy(zero_copy_only=False).view(np.uint64))
-            at = np.flatnonzero(wanted)
-            known: dict[bytes, int] = {}
-            sent, settled, contexts = [], [], []
-            for i, p, s, w in zip(at.tolist(), piece[at].tolist(), start[at].tolist(), windows[at].tolist(), strict=True):
-                x = held[p]
-                context = x[3][s : s + w + LENGTH - 1]
-                if known.setdefault(context, x[0]) < x[0]:
-                    settled.append(i)
-                else:
-                    sent.append(i)
-                    contexts.append(context)
+                if b > a and len(x[4]):
+                    told = x[4].to_numpy(zero_copy_only=False)
+                    own = (code[a:b] * np.uint64(2)).astype(np.int64)
+                    covered[a:b] = np.isin(own + 1, told)
+                    asked[a:b] = np.isin(own, told) & ~covered[a:b]
             ids, rows, offsets = (np.array([x[j] for x in held], np.int64) for j in range(3))
             out = {c: [] for c in CONTEXTS}
-            for which, below in ((np.array(sent, np.int64), False), (np.array(settled, np.int64), True)):
-                if not len(which):
-                    continue
-                p = piece[which]
-                values = {"ids": ids[p], "rows": rows[p], "starts": start[which] + offsets[p], "sizes": windows[which] + LENGTH - 1, "names": name[which]}
-                bucket = (values["ids"] % n_buckets if below else ((values["names"] >> np.uint64(7)) % np.uint64(n_buckets)).astype(np.int64))
-                for number, part in _split(bucket):
-                    out["bucket"].append(-1 - number if below else number)
+            at = np.flatnonzero(covered)
+            if len(at):  # covered runs that touch become one interval
+                p, s = piece[at], start[at]
+                e = s + windows[at] + LENGTH - 1
+                new = np.ones(len(at), bool)
+                new[1:] = (p[1:] != p[:-1]) | (s[1:] > e[:-1])
+                a = np.flatnonzero(new)
+                z = np.append(a[1:], len(at)) - 1
+                p = p[a]
+                values = {"ids": ids[p], "rows": rows[p], "starts": s[a] + offsets[p], "sizes": e[z] - s[a]}
+                for number, part in _split(values["ids"] % n_buckets):
+                    out["bucket"].append(-1 - number)
+                    for c, v in values.items():
+                        out[c].append(_packed(v[part]))
+                    out["names"].append(b"")
+                    out["bytes"].append(b"")
+            at = np.flatnonzero(asked)
+            if len(at):
+                p = piece[at]
+                values = {"ids": ids[p], "rows": rows[p], "starts": start[at] + offsets[p], "sizes": windows[at] + LENGTH - 1, "names": name[at]}
+                ends = start[at] + values["sizes"]
+                contexts = [held[i][3][s:e] for i, s, e in zip(p.tolist(), start[at].tolist(), ends.tolist(), strict=True)]
+                for number, part in _split((name[at] % np.uint64(n_buckets)).astype(np.int64)):
+                    out["bucket"].append(number)
                     for c, v in values.items():
-                        out[c].append(v[part].tobytes())
-                    out["bytes"].append(b"" if below else b"".join([contexts[j] for j in part.tolist()]))
+                        out[c].append(_packed(v[part]))
+                    out["bytes"].append(b"".join([contexts[j] for j in part.tolist()]))
             if out["bucket"]:
                 yield _rows(out, CONTEXTS)
 
@@ -235,9 +265,8 @@ def _removed(t: pa.Table) -> pa.Table:
     """(id, row, start, end) of the removed intervals that one bucket's contexts tell."""
     import numpy as np
 
-    whole = {c: b"".join(t[c].to_pylist()) for c in CONTEXTS if c != "bucket"}
-    ids, rows, starts, sizes = (np.frombuffer(whole[c], np.int64) for c in ("ids", "rows", "starts", "sizes"))
-    names, raw = np.frombuffer(whole["names"], np.uint64), whole["bytes"]
+    ids, rows, starts, sizes = (_unpacked(t[c].to_pylist(), np.int64) for c in ("ids", "rows", "starts", "sizes"))
+    names, raw = _unpacked(t["names"].to_pylist(), np.uint64), b"".join(t["bytes"].to_pylist())
     if t["bucket"][0].as_py() < 0:
         return pa.table({"id": ids, "row": rows, "start": starts, "end": starts + sizes})
     at = np.cumsum(sizes) - sizes
@@ -318,9 +347,9 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     n_buckets = 4 * parts
     d = docs.select(F.coalesce(F.col(key).cast("long"), F.lit(LAST)).alias("id"), text_of(text).alias("text"))
-    named = d.mapInArrow(_send_names(n_buckets), "bucket int, ids binary, names binary, shared binary")
-    several = named.groupBy("bucket").applyInArrow(_several, "id long, name long")
-    wanted = several.groupBy("id").agg(F.collect_list("name").alias("wanted"))
+    named = d.mapInArrow(_send_names(n_buckets), "bucket int, ids binary, names binary, codes binary")
+    told = named.groupBy("bucket").applyInArrow(_told, "id long, told long")
+    wanted = told.groupBy("id").agg(F.collect_list("told").alias("wanted"))
     texts = d.repartition(parts, "id")
     asked = texts.join(wanted, "id").select("id", "text", F.xxhash64("text").alias("row"), "wanted")
     contexts = asked.mapInArrow(_send_contexts(n_buckets), "bucket int, ids binary, rows binary, starts binary, sizes binary, names binary, bytes binary")
