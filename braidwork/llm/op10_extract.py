@@ -4,9 +4,8 @@ Pass 1 counts the structural tokens (tags with class and id) of every page. Toke
 count on each page) form an equivalence class; vectors are compared through a commutative hash, so that a host with
 a third of all pages is combined before the shuffle and nothing is gathered per host but its distinct tokens. The class
 found exactly once on every page, ordered and properly nested, is the template. Pass 2 cuts each page at the template's
-tokens into slots, tells slots whose text is the same on all pages (boilerplate) from the others, and sums their
-lengths. Pass 3 extracts: all slots inside the content element if the template has one, else the varying slots of any length
-to speak of; menus, headers, footers, sidebars, notices, adverts, forms, comments, scripts and styles are left out by
+tokens into slots, tells slots whose text is the same on all pages (boilerplate) from the others. Pass 3 extracts: all slots inside the content element if the template has one, else the varying slots of any
+length; menus, headers, footers, sidebars, notices, adverts, forms, comments, scripts and styles are left out by
 their element or by words of their class or id.
 
 Defined results: null, empty or text-free html gives an empty text; pages without a url are a host of their own; rows
@@ -22,8 +21,8 @@ from pyspark.sql import functions as F
 from braidwork.llm.common import table
 from braidwork.shared import written
 
-#: Templates are broadcast up to so many rows (one per host and token, under 200 bytes each), beyond that joined by host.
-BROADCAST_ROWS = 20_000
+#: Templates are broadcast up to so many rows (one per host and token) and characters of tokens, beyond that joined by host.
+BROADCAST_ROWS, BROADCAST_CHARS = 20_000, 4_000_000
 # Elements and words that mark what is not the article, elements that end a block, elements without content.
 NOT_TEXT = set("head script style noscript template svg math iframe object canvas select textarea button".split())
 CHROME = set("nav header footer aside form dialog menu".split())
@@ -132,7 +131,7 @@ def _tokens(batches):
                     seen[t] += 1
                     place.setdefault(t, i)
             for t, k in seen.items():
-                host.append(h), page.append(p), token.append(t[:160]), n.append(k), first.append(place[t])
+                host.append(h), page.append(p), token.append(t), n.append(k), first.append(place[t])
         yield pa.record_batch([pa.array(host, pa.string()), pa.array(page, pa.int64()), pa.array(token, pa.string()), pa.array(n, pa.int64()), pa.array(first, pa.int64())], names=["host", "page", "token", "n", "first"])
 
 
@@ -192,11 +191,11 @@ def extract(pages: DataFrame, page: str = "page_id", url: str = "url", html: str
     found = written(templates(p.withColumn("page", F.xxhash64("page"))), "host-templates")
     with_template = p.join(_small(found), "host", "left")
     slots = with_template.select("host", "template", "html").mapInArrow(_slots, "host string, slot string, inside boolean, n long, digest long")
-    per = slots.groupBy("host", "slot", "inside").agg(F.sum("n").alias("n"), F.count("*").alias("pages"), (F.min("digest") != F.max("digest")).alias("varies"))
+    per = slots.groupBy("host", "slot", "inside").agg(F.count("*").alias("pages"), (F.min("digest") != F.max("digest")).alias("varies"))
     # Where nothing varies, as with copies of one page only, nothing tells boilerplate from text and all slots count.
-    hosts = per.groupBy("host").agg(F.max("varies").alias("any"), F.max(F.when(F.col("varies") | (F.col("pages") == 1), F.col("n"))).alias("top"))
+    hosts = per.groupBy("host").agg(F.max("varies").alias("any"))
     counts = F.col("varies") | (F.col("pages") == 1)
-    keep = per.join(hosts, "host").where(~F.col("any") | (counts & (10 * F.col("n") >= F.col("top")))).groupBy("host").agg(F.collect_set("slot").alias("keep"))
+    keep = per.join(hosts, "host").where(~F.col("any") | counts).groupBy("host").agg(F.collect_set("slot").alias("keep"))
     keep = written(keep, "host-slots")
     ready = with_template.join(_small(keep), "host", "left").select(F.col("page").alias("page_id"), "url", "html", "template", "keep")
     return ready.mapInArrow(_texts, f"page_id {kind}, url string, text string")
@@ -204,8 +203,8 @@ def extract(pages: DataFrame, page: str = "page_id", url: str = "url", html: str
 
 def _small(df: DataFrame) -> DataFrame:
     column = df.columns[1]
-    n = df.agg(F.sum(F.size(column))).first()[0] or 0
-    return F.broadcast(df) if n <= BROADCAST_ROWS else df
+    n, chars = df.agg(F.sum(F.size(column)), F.sum(F.length(F.array_join(column, "")))).first()
+    return F.broadcast(df) if (n or 0) <= BROADCAST_ROWS and (chars or 0) <= BROADCAST_CHARS else df
 
 
 def op10_template_extraction(spark, sf_dir: str) -> DataFrame:
