@@ -1,19 +1,24 @@
 """Removal of repeated 50-byte strings by bucket-pointer refinement.
 
-Byte strings of LENGTH that start in a document with a smaller id are found exactly, without moving a row per byte:
-
-1. Each LENGTH-byte window is named after the least hash of its Q-grams; windows in a row with the same name form a run
-   (about one per 18 bytes). Equal windows have equal names, wherever they stand. A run's bytes have a code, a hash of their own.
-2. Runs meet in the bucket of their name; a chunk sends one row, that of its least id, for all its runs with the same name and code, so
-   that a passage in a third of all documents costs a row per chunk. Runs with equal name and code (96 bits) are equal: all but
-   the least id's are covered whole. Only where one name has several codes, the least id of each code is asked for its bytes.
-3. Bucket-pointer refinement decides those: initial buckets are 8-grams; they are refined by the pair of their own number and
-   the number of the bucket 8, then 16, then 18 bytes on, each round reusing the numbers of the last, to depths of 16, 32 and 50.
-   Windows in one final bucket are equal; the least id keeps its own.
-4. The removed intervals join the texts, which are cut and hashed.
-
-Defined results: null text is empty; null ids rank last; rows that repeat an id are documents of one rank, none removes from the other;
-an empty table gives an empty one; other columns are dropped. Ids are integers.
+Byte strings of LENGTH that start in a document with a smaller id are found exactly, without moving a row per byte. A bucket's
+pointer is a hash, so that all workers give equal strings the same pointer without asking each other:
+
+1. Initial buckets are Q-grams. Each LENGTH-byte window belongs to the bucket of the least Q-gram under it, so that equal windows meet
+   wherever they stand; windows in a row of the same bucket form a run (about one per 18 bytes).
+2. A run's bucket is refined by the pointers of later offsets: Q-gram pointers at i and i + 16 give the pointer at depth 32, this one and that at
+   i + 18 the pointer at depth 50, and those of a run's first and last window the pointer of the whole run. Runs meet in the bucket
+   of their Q-gram; a chunk sends one row, that of its least id, for all its runs with one pointer, so that a passage in a third of
+   all documents costs a row per chunk. Buckets with one document are done; of runs with equal pointers (48 + 63 bits) all but
+   the least id's are covered whole. Only where a bucket has several pointers, it is unresolved, and the least id of each pointer is asked
+   for its bytes.
+3. Unresolved buckets are refined on the bytes themselves: initial 8-gram buckets by the pointers 8, then 16, then 18 bytes on, each round taking
+   up the pointers that the last one left; buckets of one string are never touched again. Windows in one final bucket are
+   equal; the least id keeps its own.
+4. The removed intervals join the texts, which are cut and hashed. The texts are shuffled once, by id; both joins read that shuffle.
+
+Defined results: null text is empty; null ids rank last, in the order of a hash of their texts; rows that repeat an id are documents of one
+rank, none removes from the other; texts of any length are taken in pieces; ties go to the least id; an empty table gives an empty
+one; other columns, whatever their names, are dropped. Ids are integers below 2^62.
 """
 
 from __future__ import annotations
@@ -25,13 +30,19 @@ from pyspark.sql import functions as F
 from braidwork.llm.common import table, text_of
 
 LENGTH, Q = 50, 16
+#: Windows to a run.
+MOST = LENGTH - Q + 1
 #: Bytes that a worker names at a time; longer texts are taken in pieces that overlap by LENGTH - 1.
 CHUNK = 3_000_000
+#: Ranks of rows without an id start here.
+NO_ID = 1 << 62
 LAST = (1 << 63) - 1
+#: Input bytes (as stored) to a bucket, at most; there are BUCKETS buckets to a shuffle partition at least.
+BUCKET_BYTES, BUCKETS = 8_000_000, 4
 
 
-def _names(raw: bytes):
-    """The least Q-gram hash under each window's start."""
+def _pointers(raw: bytes):
+    """Pointer of the Q-gram at each byte."""
     import numpy as np
 
     n = len(raw)
@@ -39,9 +50,27 @@ def _names(raw: bytes):
     h = words[: n - Q + 1] * np.uint64(0x9E3779B97F4A7C15)
     h ^= h >> np.uint64(29)
     h += words[8 : n - Q + 9] * np.uint64(0xC2B2AE3D27D4EB4F)
-    h ^= h >> np.uint64(31)
-    h *= np.uint64(0xBF58476D1CE4E5B9)
-    h ^= h >> np.uint64(32)
+    return _mixed(h)
+
+
+def _mixed(h):
+    import numpy as np
+
+    h = (h ^ (h >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+    return h ^ (h >> np.uint64(32))
+
+
+def _refined(first, later):
+    """Pointer of the pair, at twice the depth or less."""
+    import numpy as np
+
+    return _mixed(first * np.uint64(0x9E3779B97F4A7C15) + later * np.uint64(0xD6E8FEB86659FD93) + np.uint64(1))
+
+
+def _least(h):
+    """The least pointer under each window."""
+    import numpy as np
+
     wide, size = LENGTH - Q + 1, 1
     while size < wide:
         step = min(size, wide - size)
@@ -51,7 +80,10 @@ def _names(raw: bytes):
 
 
 def _runs(pieces: list[tuple[int, bytes]]):
-    """pieces (offset in its document, bytes): arrays (piece, start in the piece, number of windows, name, code) of their runs; names and codes have 48 bits."""
+    """pieces (offset in its document, bytes): arrays (piece, start in the piece, number of windows, name, code) of their runs.
+
+    The name (48 bits) is the pointer of the run's Q-gram bucket, the code (63 bits) that of the whole run.
+    """
     import numpy as np
 
     raw = b"".join(b for _, b in pieces)
@@ -59,25 +91,32 @@ def _runs(pieces: list[tuple[int, bytes]]):
     none = np.zeros(0, np.int64)
     if len(raw) < LENGTH:
         return none, none, none, none.astype(np.uint64), none.astype(np.uint64)
-    names = _names(raw)
+    depth = _pointers(raw)
+    names = _least(depth)
     ends = np.cumsum(lens)
-    piece = np.repeat(np.arange(len(pieces)), lens)[: len(names)]
-    inside = np.arange(len(names)) + LENGTH <= ends[piece]
+    starts = ends - lens
+    # A run starts where the name changes or a piece does, and ends before the next run or the first window that leaves its piece.
     first = np.ones(len(names), bool)
-    first[1:] = (names[1:] != names[:-1]) | (piece[1:] != piece[:-1])
-    # A run ends before the next run or the first window that leaves its piece.
-    at = np.flatnonzero(first & inside)
-    stop = np.minimum(np.append(np.flatnonzero(first)[1:], len(names))[np.searchsorted(np.flatnonzero(first), at)], ends[piece[at]] - LENGTH + 1)
-    # Hash of each run's bytes: differences of prefix sums of a polynomial, shifted back to its start.
-    with np.errstate(over="ignore"):
-        root = 0x9E3779B97F4A7C15
-        spread = np.random.default_rng(50).integers(1, 1 << 63, 256, dtype=np.uint64)
-        power = np.cumprod(np.full(len(raw), root, np.uint64))
-        sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(spread[np.frombuffer(raw, np.uint8)] * power)))
-        back = np.cumprod(np.full(len(raw), pow(root, -1, 1 << 64), np.uint64))
-        code = (sums[stop + LENGTH - 1] - sums[at]) * back[at] + (stop - at).astype(np.uint64)
-        code = (code ^ (code >> np.uint64(32))) * np.uint64(0xBF58476D1CE4E5B9)
-    return piece[at], at - (ends - lens)[piece[at]], stop - at, names[at] >> np.uint64(16), code >> np.uint64(16)
+    first[1:] = names[1:] != names[:-1]
+    first[starts[starts < len(names)]] = True
+    heads = np.flatnonzero(first)
+    piece = np.searchsorted(ends, heads, side="right")
+    stop = np.minimum(np.append(heads[1:], len(names)), ends[piece] - LENGTH + 1)
+    some = heads < stop
+    at, stop, piece = heads[some], stop[some], piece[some]
+    # Repetitive texts keep a name for long; within MOST windows the first and the last one cover the run.
+    parts = (stop - at + MOST - 1) // MOST
+    if len(parts) and parts.max() > 1:
+        nth = np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts)
+        at, stop, piece = np.repeat(at, parts) + nth * MOST, np.repeat(stop, parts), np.repeat(piece, parts)
+        stop = np.minimum(stop, at + MOST)
+
+    def window(i):  # depth 16 to 32 to 50
+        a, b = _refined(depth[i], depth[i + Q]), _refined(depth[i + LENGTH - 2 * Q], depth[i + LENGTH - Q])
+        return _refined(a, b)
+
+    code = _refined(window(at), window(stop - 1) + (stop - at).astype(np.uint64))
+    return piece, at - starts[piece], stop - at, names[at] >> np.uint64(16), code >> np.uint64(1)
 
 
 def _packed(values) -> bytes:
@@ -244,21 +283,52 @@ def _send_contexts(n_buckets: int):
 
 
 def refine(raw: bytes, starts, length: int = LENGTH):
-    """Numbers for the strings of ``length`` bytes at starts: equal numbers for equal strings. Bucket-pointer refinement."""
+    """Pointers of the strings of ``length`` bytes at starts: equal pointers for equal strings. Bucket-pointer refinement.
+
+    A pointer is the last place of its bucket in the order of all positions, so that a split bucket's new pointers lie within the old one's
+    range and all others stay as they are. Each round sorts only the positions whose bucket has several, by the pointer ``step`` bytes on.
+    """
     import numpy as np
 
+    n = len(raw)
     padded = raw + b"\0" * (length + 8)
-    words = np.ndarray((len(raw),), dtype="<u8", buffer=padded, strides=(1,))
-    number = np.unique(words, return_inverse=True)[1].astype(np.uint64)
+    words = np.ndarray((n,), dtype="<u8", buffer=padded, strides=(1,))
+    order = np.argsort(words, kind="stable")
+    value = words[order]
+    pointer = np.full(n + length, -1, np.int64)  # behind the end: less than any
+    pointer[order] = _ends(np.append(value[1:] != value[:-1], True), np.arange(n))
+    last = np.append(value[1:] != value[:-1], True)
+    alone = last & np.append(True, last[:-1])
+    open_ = order[~alone]  # in the order of their buckets
+    wanted = np.zeros(n, bool)
+    wanted[starts] = True
     depth = 8
-    while depth < length:
+    while depth < length and len(open_):
         step = min(depth, length - depth)
-        last = depth + step == length
-        at = starts if last else np.arange(len(raw))
-        later = np.append(number, np.zeros(step, np.uint64))[at + step]
-        number = np.unique((number[at] << np.uint64(32)) | later, return_inverse=True)[1].astype(np.uint64)
+        if depth + step == length:
+            open_ = open_[wanted[open_]]
+            if not len(open_):
+                break
+        own, later = pointer[open_], pointer[open_ + step]
+        order = np.lexsort((later, own))
+        open_, own, later = open_[order], own[order], later[order]
+        last_of_bucket = np.append(own[1:] != own[:-1], True)
+        last = last_of_bucket | np.append(later[1:] != later[:-1], True)
+        # The place of a sub-bucket's end: the bucket's own end less what follows in the bucket.
+        place = own - (_ends(last_of_bucket, np.arange(len(open_))) - np.arange(len(open_)))
+        pointer[open_] = _ends(last, place)
+        alone = last & np.append(True, last[:-1])
+        open_ = open_[~alone]
         depth += step
-    return number
+    return pointer[starts]
+
+
+def _ends(last, place):
+    """For each entry the place of the next one (itself included) that is marked last."""
+    import numpy as np
+
+    at = np.flatnonzero(last)
+    return place[at][np.cumsum(last) - last]
 
 
 def _removed(t: pa.Table) -> pa.Table:
@@ -319,10 +389,11 @@ def _cut(batches):
     import numpy as np
 
     for batch in batches:
-        out = {"id": [], "n_bytes": [], "n_removed": [], "n_spans": [], "kept": [], "digest": []}
+        out = {"n_bytes": [], "n_removed": [], "n_spans": [], "kept": [], "digest": []}
         for i in range(batch.num_rows):
-            raw = (batch.column(1)[i].as_py() or "").encode()
-            starts, ends = (np.array(batch.column(k)[i].as_py() or [], np.int64) for k in (2, 3))
+            raw, own = (batch.column(1)[i].as_py() or "").encode(), batch.column(2)[i].as_py()
+            rows, starts, ends = (np.array(batch.column(k)[i].as_py() or [], np.int64) for k in (3, 4, 5))
+            starts, ends = starts[rows == own], ends[rows == own]
             order = np.argsort(starts, kind="stable")
             starts, ends = starts[order], np.maximum.accumulate(ends[order]) if len(order) else ends
             if len(starts):
@@ -336,29 +407,38 @@ def _cut(batches):
                 kept.append(raw[at:x])
                 at = y
             left = b"".join([*kept, raw[at:]])
-            for c, v in zip(out, (batch.column(0)[i].as_py(), len(raw), len(raw) - len(left), len(a), left, hashlib.sha256(left).hexdigest()), strict=True):
+            for c, v in zip(out, (len(raw), len(raw) - len(left), len(a), left, hashlib.sha256(left).hexdigest()), strict=True):
                 out[c].append(v)
-        types = {"id": pa.int64(), "n_bytes": pa.int64(), "n_removed": pa.int64(), "n_spans": pa.int64(), "kept": pa.binary(), "digest": pa.string()}
-        yield _rows(out, types)
+        types = {"n_bytes": pa.int64(), "n_removed": pa.int64(), "n_spans": pa.int64(), "kept": pa.binary(), "digest": pa.string()}
+        made = _rows(out, types)
+        yield pa.record_batch([batch.column(0), *made.columns], names=["key", *types])
+
+
+def stored_bytes(df: DataFrame) -> int:
+    """Bytes of the input as the plan's statistics have them: no job is run."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
 def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(id, n_bytes, n_removed, n_spans, kept, digest): kept holds the remaining bytes, digest their SHA-256."""
+    """(key, n_bytes, n_removed, n_spans, kept, digest): kept holds the remaining bytes, digest their SHA-256."""
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    n_buckets = 4 * parts
-    d = docs.select(F.coalesce(F.col(key).cast("long"), F.lit(LAST)).alias("id"), text_of(text).alias("text"))
-    named = d.mapInArrow(_send_names(n_buckets), "bucket int, ids binary, names binary, codes binary")
+    n_buckets = max(BUCKETS * parts, min(stored_bytes(docs), 1 << 50) // BUCKET_BYTES)
+    kind = docs.schema[key].dataType.simpleString()
+    nameless = F.shiftrightunsigned(F.xxhash64(text_of(text)), 2) + F.lit(NO_ID)
+    d = docs.select(F.col(key).alias("key"), F.coalesce(F.col(key).cast("long"), nameless).alias("id"), text_of(text).alias("text"))
+    named = d.select("id", "text").mapInArrow(_send_names(n_buckets), "bucket int, ids binary, names binary, codes binary")
     told = named.groupBy("bucket").applyInArrow(_told, "id long, told long")
     wanted = told.groupBy("id").agg(F.collect_list("told").alias("wanted"))
+    # Both joins have the same columns and the id as their only key, so that one shuffle of the texts serves them.
     texts = d.repartition(parts, "id")
-    asked = texts.join(wanted, "id").select("id", "text", F.xxhash64("text").alias("row"), "wanted")
+    asked = texts.join(wanted, "id").select("id", "text", F.xxhash64("text").alias("row"), "wanted", "key")
     contexts = asked.mapInArrow(_send_contexts(n_buckets), "bucket int, ids binary, rows binary, starts binary, sizes binary, names binary, bytes binary")
     gone = contexts.groupBy("bucket").applyInArrow(_removed, "id long, row long, start long, end long")
-    gone = gone.groupBy(F.col("id").alias("_id"), F.col("row").alias("_row")).agg(F.collect_list(F.struct("start", "end")).alias("x"))
-    found = texts.join(gone, (F.col("id") == F.col("_id")) & (F.xxhash64("text") == F.col("_row")), "left")
-    return found.select("id", "text", F.col("x.start").alias("s"), F.col("x.end").alias("e")).mapInArrow(_cut, "id long, n_bytes long, n_removed long, n_spans long, kept binary, digest string")
+    gone = gone.groupBy("id").agg(F.collect_list(F.struct("row", "start", "end")).alias("x"))
+    found = texts.join(gone, "id", "left").select("key", "text", F.xxhash64("text").alias("row"), F.col("x.row").alias("r"), F.col("x.start").alias("s"), F.col("x.end").alias("e"))
+    return found.mapInArrow(_cut, f"key {kind}, n_bytes long, n_removed long, n_spans long, kept binary, digest string")
 
 
 def op8_repeated_bytes(spark, sf_dir: str) -> DataFrame:
     found = remove_repeats(table(spark, sf_dir, "documents"))
-    return found.select(F.when(F.col("id") != LAST, F.col("id")).alias("doc_id"), "n_bytes", "n_removed", "n_spans", F.col("digest").alias("kept_sha256"))
+    return found.select(F.col("key").alias("doc_id"), "n_bytes", "n_removed", "n_spans", F.col("digest").alias("kept_sha256"))

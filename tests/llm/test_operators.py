@@ -239,13 +239,33 @@ def test_repeats(spark, odd_docs):
     p = "The quick brown fox jumps over the lazy dog and then runs away from it all."
     a, b = prose(60), prose(60)
     texts = ["a" * 1000, "a" * 120 + "b", None, "", p[:50], "x" + p[:50] + "y", "ä" * 100, "é" + "ä" * 60, "abc" * 300, "bca" * 50, p[:60] + "|" + p[5:], p[20:] + p[:55], a, a[:100] + b + a[100:], b, a + b, a]
-    got = {r.id: (r.n_bytes, r.n_removed, r.n_spans, r.digest) for r in op8_repeats.remove_repeats(docs(spark, texts)).collect()}
+    got = {r.key: (r.n_bytes, r.n_removed, r.n_spans, r.digest) for r in op8_repeats.remove_repeats(docs(spark, texts)).collect()}
+    assert got == repeats_brute(list(enumerate(texts)))
+    assert op8_repeats.remove_repeats(odd_docs.limit(0)).count() == 0
+
+
+def test_repeats_odd(spark, odd_docs):
+    got = collections.Counter((r.key, r.n_bytes, r.n_removed, r.digest) for r in op8_repeats.remove_repeats(odd_docs).collect())
+    texts = [(r.doc_id, (r.text or "").encode()) for r in odd_docs.collect()]
+    assert got == collections.Counter((k, len(b), 0, hashlib.sha256(b).hexdigest()) for k, b in texts)
+    # Null ids rank last and by text; rows of one id with different texts do not remove from each other; a larger id loses to both.
+    a, b = prose(40), prose(40)
+    df = spark.createDataFrame([(None, a), (None, a), (None, b + a), (3, a), (3, b), (4, a + b), (None, "x" * 60)], "doc_id long, text string")
+    gone = sorted((str(r.key), r.n_bytes - r.n_removed) for r in op8_repeats.remove_repeats(df).collect())
+    assert gone == sorted([("None", 0), ("None", 0), ("None", 0), ("3", len(a.encode())), ("3", len(b.encode())), ("4", 0), ("None", 60)])
+
+
+def test_repeats_random(spark):
+    """Small alphabets and periods: long runs, many unresolved buckets."""
+    rng = random.Random(8)
+    parts = ["".join(rng.choice("ab") for _ in range(rng.randrange(30, 120))) for _ in range(12)] + ["-" * 90, "ab" * 70, "abc" * 40, "-" * 30 + "x" + "-" * 80]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randrange(1, 7))) for _ in range(60)]
+    got = {r.key: (r.n_bytes, r.n_removed, r.n_spans, r.digest) for r in op8_repeats.remove_repeats(docs(spark, texts)).collect()}
     assert got == repeats_brute(list(enumerate(texts)))
-    assert op8_repeats.remove_repeats(odd_docs).count() == 8 and op8_repeats.remove_repeats(odd_docs.limit(0)).count() == 0
 
 
 def test_refinement():
-    raw = b"ab" * 60 + b"x" + b"ab" * 60
+    raw = b"ab" * 60 + b"x" + b"ab" * 60 + bytes(random.Random(1).choices(b"abc", k=300)) * 2
     starts = list(range(len(raw) - 49))
     numbers = op8_repeats.refine(raw, __import__("numpy").array(starts))
     by = collections.defaultdict(set)
