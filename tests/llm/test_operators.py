@@ -280,7 +280,7 @@ def test_refinement():
 def test_quality(spark, odd_docs):
     twice = prose(20)
     texts = [None, "", prose(30), twice + "\n" + twice, "a\n\na\n b \nb\na", "x " * 40, "*** " * 30 + prose(5), prose(9) + " Q " + prose(9)]
-    got = {r.doc_id: r for r in op9_quality.measure(docs(spark, texts)).collect()}
+    got = {r.key: r for r in op9_quality.measure(docs(spark, texts)).collect()}
     for i, t in enumerate(texts):
         t = t or ""
         w = t.split()
@@ -291,8 +291,27 @@ def test_quality(spark, odd_docs):
         assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == (len(w), sum(map(len, w)), sum(c in "#*$%&|<>" for c in t), len(lines) - len(set(lines)), len(covered))
         assert r.base_failed == (len(w) < 20 or 100 * len(covered) > 30 * len(w))
     assert got[2].kept and not got[3].kept and not got[6].kept
-    kept = op9_quality.filter_documents(odd_docs)
-    assert kept.columns == odd_docs.columns and op9_quality.filter_documents(odd_docs.limit(0)).count() == 0
+    kept = op9_quality.filter_documents(docs(spark, texts).withColumn("n_words", F.lit(-7)).withColumn("kept", F.lit("x")))
+    assert kept.dtypes[2:] == [("n_words", "int"), ("kept", "string")] and {tuple(r)[2:] for r in kept.collect()} == {(-7, "x")}
+    assert {r.doc_id for r in kept.collect()} == {i for i, r in got.items() if r.kept}
+    assert op9_quality.filter_documents(odd_docs.limit(0)).count() == 0 and op9_quality.measure(odd_docs).count() == 8
+
+
+def test_cascade_skips(spark):
+    """A rule behind the first that rejects is not computed."""
+    df = docs(spark, ["stop here", "go on"])
+    rules = {"stop": lambda t, w: t.startswith("stop"), "fails": lambda t, w: F.when(t.startswith("stop"), F.raise_error(F.lit("computed")).cast("boolean")).otherwise(F.lit(False))}
+    assert [r.doc_id for r in df.where(op9_quality.cascade(F.col("text"), ["stop", "fails"], rules)).collect()] == [1]
+    with pytest.raises(Exception, match="computed"):
+        df.where(op9_quality.cascade(F.col("text"), ["fails", "stop"], rules)).collect()
+
+
+def test_rule_order(spark):
+    """Rejections per second: of equal rejections the cheap rule comes first, a rule that never rejects last."""
+    df = docs(spark, [prose(400) for _ in range(300)])
+    costly = lambda t, w: (op9_quality.n_repeat_words(F.concat(w, w, w)) >= 0) & (F.size(w) > 0)
+    order = op9_quality.rule_order(df, rules={"never": lambda t, w: F.size(w) < 0, "costly": costly, "cheap": lambda t, w: F.size(w) > 0})
+    assert order == ["cheap", "costly", "never"]
 
 
 # op10
