@@ -18,6 +18,14 @@ def text_of(column: str = "text") -> Column:
     return F.coalesce(F.col(column), F.lit(""))
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """A column name like ``name`` that df does not have, whatever its case."""
+    have = {c.lower() for c in df.columns}
+    while name.lower() in have:
+        name += "_"
+    return name
+
+
 def with_words(df: DataFrame, text: str, out: str) -> DataFrame:
     """Adds the array of runs of characters that are not white space."""
     df = df.withColumn("_trimmed", F.btrim(F.col(text), F.lit(WS)))

@@ -10,9 +10,10 @@ counts of the partitions before. So a source that holds most rows is spread over
 a single task sees is one row per source and partition. The small (id, source, size) table is written once to the
 shared folder, so texts are read once and lost executors do not change the order.
 
-Defined results: null text has size 0; null source is a source of its own, the last; rows that repeat an id are
-documents of their own; a source whose documents are all empty has target 0 and is not taken; an empty table gives
-an empty one; other columns pass through ``mix``.
+Defined results: null text has size 0; null source is a source of its own, the last; rows that repeat an id (null or not) are
+documents of their own, in the order of a hash of the whole row; equal rows stand side by side, each with its own place; ties between sizes
+go by id, null first, then by this hash; texts of any length count whole; a source whose documents are all empty has target 0 and is not
+taken; an empty table gives an empty one; other columns, whatever their names, pass through ``mix``.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from braidwork.llm.common import table, text_of, with_words
+from braidwork.llm.common import table, text_of, unused, with_words
 from braidwork.shared import written
 
 WEIGHTS = (5.0, 2.0, 1.0)
@@ -51,10 +52,11 @@ def targets(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float
 
 
 def copies(sizes: DataFrame, **options) -> DataFrame:
-    """sizes (key, source, size) with source_size, target and copies. sizes is read more than once: give a written table."""
+    """sizes (key, source, size and, where keys repeat, row) with source_size, target and copies. sizes is read more than once: give a written table."""
     goals = targets(sizes, **options).withColumn("_rate", F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0))
     parts = int(sizes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ordered = sizes.repartitionByRange(parts, F.col("source").asc_nulls_last(), "size", "key").sortWithinPartitions(F.col("source").asc_nulls_last(), "size", "key")
+    order = [F.col("source").asc_nulls_last(), "size", "key", *[c for c in ("row",) if c in sizes.columns]]
+    ordered = sizes.repartitionByRange(parts, *order).sortWithinPartitions(*order)
     ordered = written(ordered.withColumn("_at", F.monotonically_increasing_id()).withColumn("_part", F.shiftright("_at", 33)), "mix-order")
     cells = ordered.groupBy("source", "_part").agg(F.min("_at").alias("_first"), F.count("*").alias("_n"))
     upto = Window.partitionBy("source").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
@@ -64,7 +66,7 @@ def copies(sizes: DataFrame, **options) -> DataFrame:
     found = ordered.join(cells, ordered["source"].eqNullSafe(F.col("_source")) & (F.col("_part") == F.col("_cell")))
     place = F.col("_at") - F.col("_first") + F.col("_before")
     taken = F.floor(F.col("offset") + F.col("_rate") * (place + 1)) - F.floor(F.col("offset") + F.col("_rate") * place)
-    return found.select("key", "source", "size", "source_size", "target", taken.cast("long").alias("copies"))
+    return found.select(*sizes.columns, "source_size", "target", taken.cast("long").alias("copies"))
 
 
 def with_sizes(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -72,12 +74,22 @@ def with_sizes(docs: DataFrame, text: str = "text") -> DataFrame:
 
 
 def mix(docs: DataFrame, key: str = "doc_id", source: str = "source", text: str = "text", **options) -> DataFrame:
-    """docs, each row as often as the mix takes it. key identifies a document; of rows that repeat a key, all are taken alike."""
-    sizes = written(with_sizes(docs.select(F.col(key).alias("key"), F.col(source).alias("source"), F.col(text).alias("_text")), "_text").select("key", "source", "size"), "mix-sizes")
-    took = copies(sizes, **options).groupBy(F.col("key").alias("_key")).agg(F.max("copies").alias("_copies")).where("_copies > 0")
-    columns = [docs[c] for c in docs.columns]
-    found = docs.join(took, docs[key].eqNullSafe(took["_key"])).select(*columns, "_copies")
-    return found.withColumn("_i", F.explode(F.sequence(F.lit(1).cast("long"), "_copies"))).select(*docs.columns)
+    """docs, each row as often as the mix takes it. Rows are told apart by their whole content; what the mix takes of equal rows is given to one of them."""
+    own, times, nth = (unused(docs, c) for c in ("mix_row", "mix_copies", "mix_nth"))
+    # Sources and sizes need not be hashed; maps have no hash and go as JSON.
+    hashed = [F.to_json(F.col(f"`{c}`")) if kind.startswith("map") or "map<" in kind else F.col(f"`{c}`") for c, kind in docs.dtypes]
+    rows = docs.withColumn(own, F.xxhash64(*hashed))
+    sizes = rows.select(F.col(key).alias("key"), F.col(source).alias("source"), F.col(text).alias("_text"), F.col(own).alias("row"))
+    sizes = written(with_sizes(sizes, "_text").select("key", "source", "size", "row"), "mix-sizes")
+    took = copies(sizes, **options).groupBy(F.col("row").alias("_row")).agg(F.sum("copies").alias(times), F.count("*").alias("_rows")).where(F.col(times) > 0)
+    took = written(took, "mix-copies")
+    found = rows.join(took.where("_rows = 1").drop("_rows"), F.col(own) == F.col("_row")).drop("_row")
+    again = took.where("_rows > 1").drop("_rows")
+    if again.limit(1).count():
+        # Equal rows: combined before the shuffle, so that a hot one costs a row per task.
+        one = rows.join(again.select("_row"), F.col(own) == F.col("_row"), "left_semi").dropDuplicates([own])
+        found = found.unionByName(one.join(again, F.col(own) == F.col("_row")).drop("_row"))
+    return found.withColumn(nth, F.explode(F.sequence(F.lit(1).cast("long"), F.col(times)))).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op5_systematic_mix(spark, sf_dir: str) -> DataFrame:
