@@ -1,27 +1,34 @@
 """URL filter by the ratio of two character language models.
 
-URLs on which a rule decides train two variable-order Markov models over 32 symbols, one of accepted and one of rejected URLs:
-contexts of up to ORDER symbols, Witten-Bell smoothing towards shorter ones, contexts seen less than LEAST times left to
-the shorter. The counts cover all training URLs (32^4 cells, so their size is bounded whatever the corpus) and only summed
-counts reach the driver. A fifth of the training URLs, chosen by hash, is held out: on it the difference of log-likelihoods per
-symbol is calibrated by a logistic fit. URLs that no rule fits are accepted if their calibrated probability is at least 1/2.
-
-Defined results: null urls and those without "://" have empty host and path, fit no rule and are judged like any other; where either class has no training
-URL all others are allowed; rows that repeat give a row each; an empty table gives an empty one; other columns are dropped.
+URLs on which a rule decides train two variable-order Markov models, one of accepted and one of rejected URLs, over the
+characters that occur: contexts of up to ORDER characters, Witten-Bell smoothing towards the context that is a character shorter, contexts seen less
+than LEAST times by a model left to the shorter one. The whole URL is modelled, scheme, query and fragment included, and its end.
+
+The models are tables of all n-grams of all URLs, so that they grow with the corpus. The longest n-grams are counted once, combined before
+the shuffle; the counts of the shorter ones are sums of these, and probabilities come level by level from the shorter n-grams by equi-joins. An URL's score
+is the sum over its n-grams of their log-likelihood ratio, divided by their number: n-grams that make up more than 1 / HOT_SHARE of all are
+at most HOT_SHARE and join by broadcast, the others by a shuffle in which none is hot. A fifth of the training URLs, chosen by hash, is held out: on it the
+score is calibrated by a logistic fit of BINS sums at most. URLs that no rule fits are accepted if their calibrated probability is at least 1/2.
+
+Defined results: null urls are empty; urls without "://" have empty host and path, fit no rule and are judged by their characters like any other;
+ties (a probability of 1/2) are accepted; long urls are taken whole; where either class has no training URL all others are allowed; rows that
+repeat give a row each; an empty table gives an empty one; extra columns pass through ``judge``, but for its own names.
 """
 
 from __future__ import annotations
 
-import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from braidwork.llm.common import table
+from braidwork.llm.common import table, unused
+from braidwork.shared import written
 
 RULES = {"net/": "block", "example.net/en/": "allow", "example.com/de/": "block", "org/fr/": "allow"}
-ORDER, SYMBOLS, LEAST, BINS = 3, 32, 3, 400
+ORDER, LEAST, BINS, HOT_SHARE = 5, 3, 400, 1000
 HELD_OUT = 5
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+#: Stands before the first character and after the last.
+PAD = "\x00"
 
 
 def with_parts(pages: DataFrame, url: str = "url") -> DataFrame:
@@ -42,100 +49,50 @@ def with_rule(df: DataFrame, rules: dict[str, str] = RULES) -> DataFrame:
     return df.withColumn("rule", name).withColumn("ruled", verdict)
 
 
-def _symbols():
-    import numpy as np
-
-    codes = np.full(256, 31, np.uint8)
-    for i in range(26):
-        codes[97 + i] = codes[65 + i] = 1 + i
-    codes[48:58] = 27
-    for c, k in ((".", 28), ("/", 29), ("-", 30), ("_", 30)):
-        codes[ord(c)] = k
-    return codes
-
-
-def _grams(texts, codes):
-    """Codes of all (ORDER + 1)-grams, each text padded in front by ORDER zeros; and the number of grams of each text."""
-    import numpy as np
-
-    raw = [t.encode() for t in texts]
-    n = np.array([len(r) for r in raw], np.int64)
-    joined = np.frombuffer((b"\0" * ORDER).join([b"", *raw]), np.uint8)
-    pad = np.zeros(len(joined), bool)
-    starts = np.cumsum(np.concatenate(([0], n[:-1] + ORDER))) if len(n) else np.zeros(0, np.int64)
-    for k in range(ORDER):
-        pad[starts + k] = True
-    s = codes[joined].astype(np.int64)
-    s[pad] = 0
-    gram = np.zeros(len(s), np.int64)
-    for k in range(ORDER + 1):
-        gram[k:] += s[: len(s) - k] * SYMBOLS**k
-    return gram[~pad], n
-
-
-def _count(batches):
-    import numpy as np
-
-    codes, sums = _symbols(), np.zeros((2, SYMBOLS ** (ORDER + 1)), np.int64)
-    for batch in batches:
-        texts, accepted = batch.column(0).to_pylist(), batch.column(1).to_numpy(zero_copy_only=False).astype(bool)
-        for k in (0, 1):
-            some = [t for t, a in zip(texts, accepted, strict=True) if a == bool(k)]
-            if some:
-                g, _ = _grams(some, codes)
-                sums[k] += np.bincount(g, minlength=sums.shape[1])
-    for k in (0, 1):
-        at = np.flatnonzero(sums[k])
-        for i in range(0, len(at), 50_000):
-            part = at[i : i + 50_000]
-            yield pa.record_batch([pa.array(np.full(len(part), k), pa.int32()), pa.array(part, pa.int64()), pa.array(sums[k][part], pa.int64())], names=["accepted", "gram", "n"])
-
-
-def log_probabilities(counts):
-    """log p(last | context) for every gram, from the grams' counts."""
-    import numpy as np
-
-    level = counts.astype(float).reshape((SYMBOLS,) * (ORDER + 1))
-    levels = [level]
-    for _ in range(ORDER):
-        level = level.sum(axis=0)
-        levels.append(level)
-    p = np.full(SYMBOLS, 1 / SYMBOLS)
-    for c in reversed(levels):
-        n, kinds = c.sum(axis=-1, keepdims=True), (c > 0).sum(axis=-1, keepdims=True)
-        p = np.where(n >= LEAST, (c + kinds * p) / np.maximum(n + kinds, 1), np.broadcast_to(p, c.shape))
-    return np.log(p).ravel()
-
-
-def ratio(training: DataFrame):
-    """float32 array over all grams: log-likelihood of accepted minus rejected. training has said and accepted."""
-    import numpy as np
-
-    rows = training.select("said", "accepted").mapInArrow(_count, "accepted int, gram long, n long").groupBy("accepted", "gram").agg(F.sum("n").alias("n")).collect()
-    sums = np.zeros((2, SYMBOLS ** (ORDER + 1)), np.int64)
-    for k, gram, n in rows:
-        sums[k, gram] = n
-    if not sums[0].any() or not sums[1].any():
+def grams(said: Column) -> Column:
+    """All (ORDER + 1)-grams of the padded text, one for each character and one for the end."""
+    padded = F.concat(F.lit(PAD * ORDER), said, F.lit(PAD))
+    return F.transform(F.sequence(F.lit(1), F.length(said) + 1), lambda i: F.substring(padded, i, F.lit(ORDER + 1)))
+
+
+def _estimated(counts: DataFrame, shorter: DataFrame | None, n: int, symbols: int) -> DataFrame:
+    """(gram, n, p1, p0) of the n-grams: Witten-Bell over the context's counts; shorter has those of the (n - 1)-grams."""
+    context = F.substring("gram", 1, n - 1)
+    per = counts.groupBy(context.alias("context")).agg(*[f(f"n{k}").alias(f"{name}{k}") for k in (1, 0) for name, f in (("all", F.sum), ("kinds", lambda c: F.count_if(F.col(c) > 0)))])
+    df = counts.withColumn("context", context).join(per, "context")
+    if shorter is None:
+        df = df.withColumns({f"q{k}": F.lit(1.0 / symbols) for k in (1, 0)})
+    else:
+        df = df.withColumn("_rest", F.substring("gram", 2, n - 1)).join(shorter.select(F.col("gram").alias("_rest"), F.col("p1").alias("q1"), F.col("p0").alias("q0")), "_rest")
+    p = lambda k: F.when(F.col(f"all{k}") >= LEAST, (F.col(f"n{k}") + F.col(f"kinds{k}") * F.col(f"q{k}")) / (F.col(f"all{k}") + F.col(f"kinds{k}"))).otherwise(F.col(f"q{k}"))
+    return df.select("gram", "n", p(1).alias("p1"), p(0).alias("p0"))
+
+
+def ratios(urls: DataFrame) -> DataFrame | None:
+    """(gram, n, d): log-likelihood of accepted minus rejected of every gram of urls (said, accepted; accepted is null outside of the training); n counts it in all of them."""
+    one = lambda k: F.sum(F.when(F.col("accepted") == F.lit(bool(k)), 1).otherwise(0)).alias(f"n{k}")
+    longest = urls.select("accepted", F.explode(grams(F.col("said"))).alias("gram")).groupBy("gram").agg(F.count("*").alias("n"), one(1), one(0))
+    levels = [written(longest, "url-grams")]
+    for n in range(ORDER, 0, -1):
+        levels.append(levels[-1].groupBy(F.substring("gram", 2, n).alias("gram")).agg(*[F.sum(c).alias(c) for c in ("n", "n1", "n0")]))
+    seen = levels[0].agg(F.sum("n1"), F.sum("n0"), F.count_distinct(F.substring("gram", ORDER + 1, 1))).first()
+    if not seen[0] or not seen[1]:
         return None
-    return (log_probabilities(sums[1]) - log_probabilities(sums[0])).astype(np.float32)
-
-
-def with_score(df: DataFrame, table_) -> DataFrame:
-    """Adds score: the mean of the ratio over the symbols of said. table_ is a broadcast variable of 4 MB."""
-    names = df.columns
-    said = names.index("said")
-
-    def score(batches):
-        import numpy as np
+    made = None
+    for n, counts in enumerate(reversed(levels), 1):
+        made = _estimated(counts, made, n, seen[2])
+    return written(made.select("gram", "n", (F.log("p1") - F.log("p0")).alias("d")), "url-ratios")
 
-        codes, d = _symbols(), table_.value
-        for batch in batches:
-            g, n = _grams(batch.column(said).to_pylist(), codes)
-            ends = np.cumsum(n)
-            sums = np.concatenate(([0.0], np.cumsum(d[g], dtype=np.float64)))
-            yield pa.record_batch([*batch.columns, pa.array((sums[ends] - sums[ends - n]) / np.maximum(n, 1), pa.float64())], names=[*names, "score"])
 
-    return df.mapInArrow(score, df.select("*", F.lit(0.0).alias("score")).schema)
+def scores(urls: DataFrame, table_: DataFrame) -> DataFrame:
+    """(url, score): the mean of d over the grams of said, for distinct (url, said)."""
+    each = urls.select("url", F.explode(grams(F.col("said"))).alias("gram"))
+    whole = table_.agg(F.sum("n")).first()[0] or 0
+    hot = table_.where(F.col("n") * HOT_SHARE > whole).select("gram", F.col("d").alias("_d"))  # HOT_SHARE rows at most
+    each = each.join(F.broadcast(hot), "gram", "left")
+    known = each.where(F.col("_d").isNotNull()).select("url", F.col("_d").alias("d"))
+    rest = each.where(F.col("_d").isNull()).select("url", "gram").join(table_.where(F.col("n") * HOT_SHARE <= whole).select("gram", "d"), "gram").select("url", "d")
+    return known.groupBy("url").agg(F.sum("d").alias("d"), F.count("*").alias("n")).unionAll(rest.groupBy("url").agg(F.sum("d").alias("d"), F.count("*").alias("n"))).groupBy("url").agg((F.sum("d") / F.sum("n")).alias("score"))
 
 
 def calibrate(rows: list[tuple[float, bool, int]]) -> tuple[float, float]:
@@ -158,16 +115,27 @@ def calibrate(rows: list[tuple[float, bool, int]]) -> tuple[float, float]:
 
 def judge(pages: DataFrame, url: str = "url", rules: dict[str, str] = RULES) -> DataFrame:
     """pages' columns plus host, path, rule, verdict and probability."""
-    df = with_rule(with_parts(pages, url), rules).withColumn("said", F.concat(F.coalesce("host", F.lit("")), F.lower("path")))
-    labelled = df.where(F.col("ruled").isNotNull()).select("said", (F.col("ruled") == "allow").alias("accepted"), (F.pmod(F.xxhash64(url), F.lit(HELD_OUT)) == 0).alias("held"))
-    d = ratio(labelled.where(~F.col("held")))
-    if d is None:
-        return df.withColumn("probability", F.lit(1.0)).withColumn("verdict", F.coalesce("ruled", F.lit("allow"))).drop("said", "ruled")
-    shared = pages.sparkSession.sparkContext.broadcast(d)
-    bins = with_score(labelled.where("held").select("said", "accepted"), shared).groupBy((F.round(F.least(F.greatest("score", F.lit(-4.0)), F.lit(4.0)) * (BINS / 8)) / (BINS / 8)).alias("x"), "accepted").count().collect()
+    given = [c for c in pages.columns if c.lower() not in ("host", "path", "rule", "verdict", "probability")]
+    pages = pages.select(*[F.col(f"`{c}`") for c in given])
+    ruled, at = unused(pages, "url_ruled"), unused(pages, "url_key")
+    df = with_rule(with_parts(pages, url), rules).withColumnRenamed("ruled", ruled)
+    # Copies count as often as they occur in the models, but are scored once.
+    said = F.coalesce(F.col(url), F.lit(""))
+    seen = df.select(said.alias("said"), (F.col(ruled) == "allow").alias("allowed"))
+    held = F.pmod(F.xxhash64("said"), F.lit(HELD_OUT)) == 0
+    seen = seen.withColumn("accepted", F.when(~held, F.col("allowed")))
+    found = ratios(seen)
+    if found is None:
+        return df.withColumn("probability", F.lit(1.0)).withColumn("verdict", F.coalesce(ruled, F.lit("allow"))).drop(ruled)
+    once = seen.groupBy("said").agg(F.any_value("allowed").alias("allowed"), F.count("*").alias("copies")).withColumn("url", F.xxhash64("said"))
+    once = written(once, "url-texts")
+    scored = written(scores(once, found), "url-scores")
+    step = F.round(F.least(F.greatest("score", F.lit(-4.0)), F.lit(4.0)) * (BINS / 8)) / (BINS / 8)
+    bins = once.where(held & F.col("allowed").isNotNull()).join(scored, "url").groupBy(step.alias("x"), "allowed").agg(F.sum("copies")).collect()
     a, b = calibrate([(r[0], r[1], r[2]) for r in bins]) if bins else (1.0, 0.0)
-    out = with_score(df, shared).withColumn("probability", 1 / (1 + F.exp(-(F.col("score") * a + b))))
-    return out.withColumn("verdict", F.coalesce("ruled", F.when(F.col("probability") >= 0.5, "allow").otherwise("block"))).drop("said", "ruled", "score")
+    chance = once.join(scored, "url").select(F.col("said").alias(at), (1 / (1 + F.exp(-(F.col("score") * a + b)))).alias("probability"))
+    out = df.join(chance, said == F.col(at)).drop(at)
+    return out.withColumn("verdict", F.coalesce(ruled, F.when(F.col("probability") >= 0.5, "allow").otherwise("block"))).drop(ruled)
 
 
 def op2_url_models(spark, sf_dir: str) -> DataFrame:

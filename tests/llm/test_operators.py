@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import math
 import random
 import re
 
@@ -68,6 +69,59 @@ def test_urls(spark):
     assert op2_urls.judge(df.limit(0)).count() == 0
 
 
+def url_models_brute(rows):
+    """{url: probability} of rows (url, verdict of the rules or None), by plain dictionaries."""
+    order, pad = op2_urls.ORDER, op2_urls.PAD
+    df_hash = rows["hash"]
+    counts = [collections.Counter(), collections.Counter()]
+    symbols = set()
+    for u, ruled in rows["urls"]:
+        t = pad * order + (u or "") + pad
+        symbols |= set(t[order:])
+        if ruled is not None and df_hash[u or ""] % op2_urls.HELD_OUT:
+            for i in range(order, len(t)):
+                for k in range(order + 1):
+                    counts[ruled == "allow"][t[i - k : i + 1]] += 1
+    context = [collections.defaultdict(list), collections.defaultdict(list)]
+    for k in (0, 1):
+        for g, n in counts[k].items():
+            context[k][g[:-1], len(g)].append(n)
+
+    def p(k, gram):
+        shorter = p(k, gram[1:]) if len(gram) > 1 else 1 / len(symbols)
+        own = context[k].get((gram[:-1], len(gram)), [])
+        return (counts[k][gram] + len(own) * shorter) / (sum(own) + len(own)) if sum(own) >= op2_urls.LEAST else shorter
+
+    score = {}
+    for u, _ in rows["urls"]:
+        t = pad * order + (u or "") + pad
+        d = [math.log(p(1, t[i - order : i + 1])) - math.log(p(0, t[i - order : i + 1])) for i in range(order, len(t))]
+        score[u or ""] = sum(d) / len(d)
+    bins = collections.Counter()
+    for u, ruled in rows["urls"]:
+        if ruled is not None and df_hash[u or ""] % op2_urls.HELD_OUT == 0:
+            x = max(-4.0, min(4.0, score[u or ""])) * (op2_urls.BINS / 8)
+            bins[math.floor(abs(x) + 0.5) * (1 if x >= 0 else -1) / (op2_urls.BINS / 8), ruled == "allow"] += 1
+    a, b = op2_urls.calibrate([(x, y, n) for (x, y), n in bins.items()])
+    return {u: 1 / (1 + math.exp(-(a * s + b))) for u, s in score.items()}
+
+
+def test_url_models(spark):
+    """Probabilities against brute force; copies, nulls, urls without a scheme, queries, capitals and other scripts."""
+    word = lambda: "".join(RNG.choice("abcdeé") for _ in range(RNG.randrange(2, 6)))
+    hosts = ["a.example.net/en/", "b.example.net/xx/", "example.com/de/", "w.org/fr/", "w.org/zz/", "other.io/"]
+    urls = [f"http{RNG.choice(['', 's'])}://{h}{word()}/{word()}?q={word()}" for h in hosts for _ in range(15)]
+    urls += urls[:7] + [None, "", "no scheme", "HTTP://Ä.io/日本#x"]
+    df = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string").withColumn("verdict", F.lit(1)).withColumn("url_key", F.lit("v"))
+    got = op2_urls.judge(df).collect()
+    assert {r.url_key for r in got} == {"v"} and len(got) == len(urls)
+    hashes = {r.u: r.h for r in df.select(F.coalesce("url", F.lit("")).alias("u"), F.xxhash64(F.coalesce("url", F.lit(""))).alias("h")).collect()}
+    want = url_models_brute({"urls": [(r.url, op2_urls.RULES[r.rule] if r.rule else None) for r in got], "hash": hashes})
+    for r in got:
+        assert abs(r.probability - want[r.url or ""]) < 1e-6
+        assert r.verdict == (op2_urls.RULES[r.rule] if r.rule else "allow" if r.probability >= 0.5 else "block")
+
+
 # op3
 
 
