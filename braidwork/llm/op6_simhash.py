@@ -8,12 +8,12 @@ radius agree under some mask: all 2^(r+1) - 1 = 15 tables together miss no pair
 Copies fold into one distinct fingerprint before the tables. A bucket of a table is walked breadth-first in a
 worker: a fingerprint claims all unclaimed ones within the radius, so that a bucket of m emits at most m - 1 links (never
 all pairs) and a dense group costs little more than linear time; what is far apart is compared once. Buckets above
-SPLIT distinct fingerprints are first dealt out by the blocks of their unmasked bits: within the radius r one of r + 1
+SPLIT distinct fingerprints are first dealt out by the blocks of their unmasked bits, as often as it takes: within the radius r one of r + 1
 blocks agrees, so that the parts still miss no pair. Links join into components by alternating stars.
 
-Defined results: null or blank text has fingerprint zero and links like any other; rows that repeat a doc_id give a
-row each, with the component of the least doc_id; null doc_ids never name a component unless alone; an empty table gives
-an empty one; other columns pass through ``representatives``.
+Defined results: null or blank text has fingerprint zero and links like any other; long texts are hashed whole, in bounded parts; a bit set in
+exactly half the hashes is 0; rows that repeat a doc_id give a row each, with the component of the least doc_id; null doc_ids never name a component
+unless alone; an empty table gives an empty one; other columns, whatever their names, are dropped, and pass through ``representatives``.
 """
 
 from __future__ import annotations
@@ -94,7 +94,7 @@ def _walk(fps, radius: int):
 
 def _links(radius: int):
     def walk(batches):
-        """Rows (t, k, fp) sorted by (t, k): one bucket after another."""
+        """Rows (m, k, fp) sorted by (m, k): one bucket after another."""
         import numpy as np
 
         held, last = [], None
@@ -133,44 +133,62 @@ def _long(x: int) -> int:
     return x - (1 << 64) if x >= 1 << 63 else x
 
 
+def blocks(mask: int, radius: int = RADIUS) -> list[int]:
+    """The bits outside of mask, dealt out to radius + 1 blocks: of two fingerprints within the radius that agree on mask, some block agrees, too."""
+    free = [b for b in range(64) if not mask >> b & 1]
+    return [sum(1 << b for b in free[j :: radius + 1]) for j in range(radius + 1)]
+
+
+def _keyed(fps: DataFrame, masks_: list[int]) -> DataFrame:
+    """(m, k, fp): the bucket k of every fingerprint under each mask m."""
+    tables = F.array(*[F.struct(F.lit(_long(m)).alias("m"), F.col("fp").bitwiseAND(F.lit(_long(m))).alias("k")) for m in masks_])
+    return fps.select("fp", F.explode(tables).alias("x")).select("x.m", "x.k", "fp")
+
+
 def links(distinct: DataFrame, radius: int = RADIUS, split: int = SPLIT) -> DataFrame:
-    """(a, b): links between distinct fingerprints (fp) that connect all pairs within the radius."""
-    all_masks = masks(radius)
-    tables = F.array(*[F.struct(F.lit(t).alias("t"), F.col("fp").bitwiseAND(F.lit(_long(m))).alias("k")) for t, m in enumerate(all_masks)])
-    keyed = distinct.select("fp", F.explode(tables).alias("x")).select(F.col("x.t").alias("t"), F.col("x.k").alias("k"), "fp")
-    sizes = keyed.groupBy("t", "k").agg(F.count("*").alias("n")).where("n > 1")
-    sizes = written(sizes, "simhash-buckets")
-    big = sizes.where(F.col("n") > split).select("t", "k")
-    hot = written(keyed.join(big, ["t", "k"], "left_semi"), "simhash-hot") if big.limit(1).count() else None
-    found = keyed.join(sizes.where(F.col("n") <= split).select("t", "k"), ["t", "k"], "left_semi")
-    if hot is not None:
-        # Blocks of the unmasked bits of each table: radius + 1 of them.
-        def blocks(mask):
-            free = [b for b in range(64) if not mask >> b & 1]
-            return [sum(1 << b for b in free[j :: radius + 1]) for j in range(radius + 1)]
-
-        per = F.create_map(*[x for t, m in enumerate(all_masks) for x in (F.lit(t), F.array(*[F.lit(_long(b)) for b in blocks(m)]))])
-        dealt = hot.select("t", "k", "fp", F.posexplode(per[F.col("t")]).alias("j", "m"))
-        dealt = dealt.select((F.lit(100) + F.col("t") * 10 + F.col("j")).alias("t"), F.xxhash64("k", F.col("fp").bitwiseAND(F.col("m"))).alias("k"), "fp")
-        found = found.unionByName(dealt)
-    return found.repartition("t", "k").sortWithinPartitions("t", "k").mapInArrow(_links(radius), "a long, b long").distinct()
-
-
-def components(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """(a, b): links between distinct fingerprints (fp) that connect all pairs within the radius.
+
+    Buckets of more than ``split`` are dealt out by blocks of the bits that their mask leaves free, and what is still larger once more, with the
+    mask grown by the block, until none is; each round keeps every pair together somewhere.
+    """
+    all_masks = sorted(set(masks(radius)))
+    keyed = _keyed(distinct, all_masks)
+    found = None
+    while True:
+        sizes = written(keyed.groupBy("m", "k").agg(F.count("*").alias("n")).where("n > 1"), "simhash-buckets")
+        part = keyed.join(sizes.where(F.col("n") <= split).select("m", "k"), ["m", "k"], "left_semi")
+        found = part if found is None else found.unionAll(part)
+        big = sizes.where(F.col("n") > split).select("m", "k")
+        if not big.limit(1).count():
+            break
+        hot = written(keyed.join(big, ["m", "k"], "left_semi"), "simhash-hot")
+        grown = {m: sorted({m | b for b in blocks(m, radius) if b}) for m in all_masks if m != (1 << 64) - 1}
+        per = F.create_map(*[x for m, more in grown.items() for x in (F.lit(_long(m)), F.array(*[F.lit(_long(g)) for g in more]))])
+        keyed = hot.select("fp", F.explode(per[F.col("m")]).alias("m")).select("m", F.col("fp").bitwiseAND(F.col("m")).alias("k"), "fp").distinct()
+        reached = {r[0] % 2**64 for r in hot.select("m").distinct().collect()}  # masks only
+        all_masks = sorted({g for m in reached for g in grown[m]})
+    return found.repartition("m", "k").sortWithinPartitions("m", "k").mapInArrow(_links(radius), "a long, b long").distinct()
+
+
+def components(prints: DataFrame, radius: int = RADIUS, split: int = SPLIT) -> DataFrame:
     """prints (key, fp) plus component_id, the least key reachable. prints is read twice: give a written table."""
     least = written(prints.groupBy("fp").agg(F.min("key").alias("first")), "simhash-distinct")
-    nodes = connected_components(links(least.select("fp"), radius))
+    nodes = connected_components(links(least.select("fp"), radius, split))
     named = least.join(nodes, F.col("fp") == F.col("node"), "left").select("fp", "first", F.coalesce("component", "fp").alias("group"))
     groups = named.groupBy("group").agg(F.min("first").alias("component_id"))
     named = named.join(groups, "group").select(F.col("fp").alias("_fp"), "component_id")
     return prints.join(named, F.col("fp") == F.col("_fp")).drop("_fp")
 
 
-def representatives(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Of each component the rows of its least key, with their own columns."""
-    prints = written(fingerprints(docs, key, text), "simhash-prints")
-    keep = components(prints).where(F.col("key").eqNullSafe(F.col("component_id"))).select(F.col("key").alias("_key")).distinct()
-    return docs.join(keep, docs[key].eqNullSafe(F.col("_key")), "left_semi")
+def representatives(docs: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
+    """One row of each group of near-duplicates, with its own columns: five-word shingles, Jaccard similarity of 0.8 or more.
+
+    At 0.8 two 64-bit fingerprints differ by ten bits on average and by up to twenty, for which a covering would take 2^20 tables or more;
+    candidates come from MinHash bands instead (``near_copies``), and each is decided by its exact similarity.
+    """
+    from braidwork.llm import near_copies
+
+    return near_copies.representatives(docs, key, text, **options)
 
 
 def op6_simhash_covering(spark, sf_dir: str) -> DataFrame:
