@@ -49,11 +49,28 @@ def test_pii(spark, odd_docs):
         assert [(s.s, s.kind, s.e) for s in got[i] if s.base] == pii_base(t or "")
     assert [(s.s, s.e) for s in got[7]] == [(0, 22), (29, 43)] and not got[10]
     assert op1_pii.redact(df).where("doc_id = 4").first().text == "é😀 <email> 😀 <phone>"
-    out = op1_pii.redact(odd_docs)
-    assert out.columns == odd_docs.columns and out.count() == 8
+    out = op1_pii.redact(odd_docs.withColumn("cands", F.lit("c")).withColumn("_t", F.lit(-1)).withColumn("own", F.lit(True)))
+    assert out.columns == [*odd_docs.columns, "cands", "_t", "own"] and {tuple(r)[3:] for r in out.collect()} == {(0, 0, "k", "c", -1, True)}
+    assert sorted((str(r.doc_id), str(r.text)) for r in out.collect()) == sorted((str(r.doc_id), str(r.text)) for r in odd_docs.collect())
     assert op1_pii.detect(odd_docs.limit(0)).count() == 0
 
 
+def test_many_spans(spark):
+    t = " ".join(f"a{i}@b.de 10.0.{i % 256}.1" for i in range(700))
+    got = op1_pii.detect(docs(spark, [t])).first().spans
+    assert [(s.s, s.kind, s.e) for s in got if s.base] == pii_base(t) and len(got) >= 1400
+
+
+def test_span_classifier():
+    """The votes' posteriors carry over to features: of two patterns with equal votes, the one whose looks go with good votes is likelier."""
+    good, bad, none = (1, 1, 1, 1), (-1, -1, -1, -1), (0, 0, 0, 0)
+    near, far = (0, 0, 0, 1, 1), (3, 3, 3, 2, 2)
+    w = op1_pii.train([(0, good, near, 500), (0, bad, far, 500), (0, none, near, 5), (0, none, far, 5)])
+    score = lambda v, f: sum(w[i] for i in op1_pii._encoded(0, v, f))
+    assert score(none, near) > score(none, far) and score(good, far) > score(bad, far) and score(good, near) > 0 > score(bad, far)
+    assert op1_pii.train([]) == [0.0] * op1_pii.N_WEIGHTS
+
+
 # op2
 
 
