@@ -83,7 +83,8 @@ def mix(docs: DataFrame, key: str = "doc_id", source: str = "source", text: str
     sizes = written(with_sizes(sizes, "_text").select("key", "source", "size", "row"), "mix-sizes")
     took = copies(sizes, **options).groupBy(F.col("row").alias("_row")).agg(F.sum("copies").alias(times), F.count("*").alias("_rows")).where(F.col(times) > 0)
     took = written(took, "mix-copies")
-    found = rows.join(took.where("_rows = 1").drop("_rows"), F.col(own) == F.col("_row")).drop("_row")
+    # The same join at every size: the table of copies grows with the corpus.
+    found = rows.join(took.where("_rows = 1").drop("_rows").hint("merge"), F.col(own) == F.col("_row")).drop("_row")
     again = took.where("_rows > 1").drop("_rows")
     if again.limit(1).count():
         # Equal rows: combined before the shuffle, so that a hot one costs a row per task.
