@@ -54,7 +54,7 @@ def truncate(c: Column, n: int) -> Column:
 def title_case(c: Column) -> Column:
     """A capital after every character that is not a letter: node.js becomes Node.Js."""
     parts = F.split(c, r"(?U)(?<=[^\p{L}])(?=\p{L})")
-    return F.array_join(F.transform(parts, lambda p: F.concat(F.upper(F.substring(p, 1, 1)), F.lower(F.substring(p, 2, 1 << 20)))), "")
+    return F.array_join(F.transform(parts, lambda p: F.concat(F.upper(F.substring(p, 1, 1)), F.lower(F.substring(p, F.lit(2), F.length(p))))), "")
 
 
 def split_list(c: Column) -> Column:

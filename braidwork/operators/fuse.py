@@ -40,6 +40,11 @@ def gathered(records: DataFrame, clusters: DataFrame, columns: list[str]) -> Dat
     return df.groupBy("cluster_id").agg(F.array_sort(F.collect_list(F.struct("rec_id", *columns))).alias("recs"))
 
 
+def let(value: Column, use) -> Column:
+    """use(value), value being computed once for a row."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def in_priority(values: Column, cfg: EngineConfig) -> Column:
     """Structs with a source, sorted by priority; stable."""
     rank = priority(cfg)
@@ -88,7 +93,7 @@ def skills(values: str, cfg: EngineConfig) -> Column:
         own = F.filter(v, lambda x: F.lower(x["value"]) == key)
         return F.struct(F.get(own, F.lit(0))["value"].alias("name"), F.round(F.array_max(F.transform(own, lambda x: weight(x["source"]))), 4).alias("confidence"), sources_of(own).alias("sources"))
 
-    return F.transform(names, one)
+    return let(names, lambda n: F.transform(n, one))
 
 
 def entry_key(kind: str, e: Column) -> Column:
@@ -118,7 +123,9 @@ def merged(recs: str, kind: str, cfg: EngineConfig) -> Column:
         base = lambda f: F.get(own, F.lit(0))["e"][f]
         return F.struct(*[F.coalesce(first(f), base(f)).alias(f) for f in FIELDS[kind]], F.round(weight(F.get(own, F.lit(0))["source"]), 4).alias("confidence"), sources_of(own).alias("sources"))
 
-    return F.transform(F.array_distinct(F.transform(ordered, lambda x: x["key"])), lambda k: one(F.filter(ordered, lambda x: x["key"] == k)))
+    # The entries are sorted once, and one key's are filtered once.
+    of = lambda o: F.transform(F.array_distinct(F.transform(o, lambda x: x["key"])), lambda k: let(F.filter(o, lambda x: x["key"] == k), one))
+    return let(ordered, of)
 
 
 def first_of(recs: str, field: str, cast: str | None = None) -> Column:
@@ -139,5 +146,5 @@ def split_degree(e: Column) -> Column:
     place = F.when(d.contains(" - "), at).otherwise(F.length(F.regexp_extract(d, cut, 1)) + 1)
     return F.struct(
         e["institution"].alias("institution"), F.when(split, trim_ws(F.substring(d, F.lit(1), place - 1))).otherwise(e["degree"]).alias("degree"),
-        F.when(split, trim_ws(F.substring(d, place + 3, F.lit(10_000)))).otherwise(e["field"]).alias("field"), *[e[c].alias(c) for c in ("location", "start_year", "end_year", "confidence", "sources")],
+        F.when(split, trim_ws(F.substring(d, place + 3, F.length(d)))).otherwise(e["field"]).alias("field"), *[e[c].alias(c) for c in ("location", "start_year", "end_year", "confidence", "sources")],
     )

@@ -59,7 +59,7 @@ def score_pairs(records: DataFrame, pairs: DataFrame, cfg: EngineConfig, names:
         df = df.withColumn("name_company", F.when(F.col("_n") < m.fuzzy_name_min_ratio, 0.0).when(both, F.col("_n") / 100 * (0.7 + 0.3 * F.col("_c") / 100)).otherwise(F.col("_n") / 100 * 0.7))
     else:
         df = df.withColumn("name_company", F.lit(0.0))
-    score = F.least(F.lit(1.0), F.col("email") * m.email_weight + F.col("phone") * m.phone_weight + F.col("name_company") * m.name_company_weight)
+    score = F.least(F.lit(1.0), F.col("email") * m.email_match_weight + F.col("phone") * m.phone_match_weight + F.col("name_company") * m.name_company_match_weight)
     df = df.withColumn("score", score)
     t, low = m.merge_decision_threshold, m.merge_decision_threshold - cfg.review.flag_near_threshold_margin
     decision = F.when(F.col("score") >= t, "MERGE").when(F.col("score") >= low, "MANUAL_REVIEW").otherwise("SEPARATE")
@@ -73,10 +73,10 @@ def links(records: DataFrame, cfg: EngineConfig) -> DataFrame:
     least = m.merge_decision_threshold - cfg.review.flag_near_threshold_margin
     if least <= 0:
         raise ValueError("threshold minus margin must be positive: otherwise every record links to every other")
-    if m.name_company_weight < least and min(m.email_weight, m.phone_weight) >= least:
+    if m.name_company_match_weight < least and min(m.email_match_weight, m.phone_match_weight) >= least:
         return key_stars(records, "emails").unionAll(key_stars(records, "phones"))
     pairs = key_pairs(records, "emails").unionAll(key_pairs(records, "phones"))
-    if m.name_company_weight >= least:
+    if m.name_company_match_weight >= least:
         pairs = pairs.unionAll(name_candidates(records))
     return score_pairs(records, pairs.distinct(), cfg).where("decision <> 'SEPARATE'").select("a", "b")
 
@@ -100,7 +100,7 @@ def group_metrics(cfg: EngineConfig):
         name = 0.0
         if n >= m.fuzzy_name_min_ratio:
             name = n / 100 * (0.7 + 0.3 * token_set(x[1], y[1]) / 100 if x[1] and y[1] else 0.7)
-        score = min(1.0, email * m.email_weight + phone * m.phone_weight + name * m.name_company_weight)
+        score = min(1.0, email * m.email_match_weight + phone * m.phone_match_weight + name * m.name_company_match_weight)
         apart = bool(phone) and not email and x[0] != y[0] and token_set(x[0], y[0]) < 60 and set(x[0].split()).isdisjoint(y[0].split())
         return score, [k for k, v in (("email", email), ("phone", phone), ("name_company", name)) if v], apart
 

@@ -80,6 +80,23 @@ def test_line_automata():
     assert resume.layout_text([{"text": "a", "x0": 0, "x1": 10, "top": 1}, {"text": "b", "x0": 200, "x1": 210, "top": 3}], 600) == "a\nb"
 
 
+def test_education():
+    one = lambda t: [tuple(e[k] for k in ("institution", "degree", "field", "location", "start_year", "end_year")) for e in resume.education(t)]
+    assert one("B.Tech - Computer Science\nNational Institute of Technology, Delhi | 2014 - 2018") == [("National Institute of Technology, Delhi", "B.Tech", "Computer Science", None, "2014", "2018")]
+    assert one("iiit Delhi , India\nM.Sc – Physics\n2019 - Present\nDelhi Public School | 2012\nClass 12") == [
+        ("iiit", "M.Sc", "Physics", "Delhi, India", "2019", None), ("Delhi Public School", "Class 12", None, None, None, "2012"),
+    ]
+    assert one("MBA 2010\nHarvard School, Boston , Mexico\nPh.D 2015\nHarvard School, Boston , Mexico") == [("Harvard School", "MBA", None, "Boston, Mexico", None, "2010"), ("Harvard School", "Ph.D", None, "Boston, Mexico", None, "2015")]
+    assert one("•\nSomewhere Else\nDiploma") == [("Somewhere Else", "Diploma", None, None, None, None)] and one("2014 - 2018") == [] and one("") == []
+
+
+def test_blocks():
+    assert resume.blocks("• A\n  detail\n• B") == ["A\n  detail", "B"]
+    assert resume.blocks("A\nx\n\n\nB") == ["A\nx", "B"] and resume.blocks(" \n") == []
+    assert resume.blocks("Engineer\nAcme | 2020 - 2021\nBuilt\nIntern\nBeta | 2019 - 2020") == ["Engineer\nAcme | 2020 - 2021\nBuilt", "Intern\nBeta | 2019 - 2020"]
+    assert resume.blocks("Acme | 2020 - 2021\nBuilt\nIntern\nBeta 2019 - 2020") == ["Acme | 2020 - 2021\nBuilt", "Intern\nBeta 2019 - 2020"]
+
+
 def test_components_match_brute_force(spark):
     rng = random.Random(5)
     for n, m in ((40, 25), (60, 80)):
@@ -98,7 +115,7 @@ def test_matching(spark):
     rows = [(1, "Ann Lee", ["a@x.io"], ["+1"]), (2, "A Lee", ["a@x.io"], []), (3, "Bo", ["b@x.io"], ["+1"]), (4, "Ann Lee", ["c@x.io"], [])]
     df = as_records(spark.createDataFrame(rows, "rec_id long, full_name string, emails array<string>, phones array<string>"))
     assert sorted(tuple(r) for r in match.clusters(df, EngineConfig()).collect()) == [(1, 1), (2, 1), (3, 1), (4, 4)]
-    by_name = EngineConfig.from_dict({"matching": {"name_company_weight": 1.2}})
+    by_name = EngineConfig.from_dict({"matching": {"name_company_match_weight": 1.2}})
     assert sorted(tuple(r) for r in match.clusters(df, by_name).collect()) == [(1, 1), (2, 1), (3, 1), (4, 1)]
     plan = match.key_pairs(df, "emails")._jdf.queryExecution().executedPlan().toString()
     assert "Cartesian" not in plan and "NestedLoop" not in plan
@@ -118,7 +135,12 @@ def test_projection(spark):
 
 def test_config_sections():
     cfg = EngineConfig.from_dict({"_note": "x", "validation": {"date_min_year": 1800}})
-    assert cfg.validation.date_min_year == 1800 and cfg.validation.date_max_year == 2030 and cfg.matching.email_weight == 1.0
+    assert cfg.validation.date_min_year == 1800 and cfg.validation.date_max_year == 2030 and cfg.matching.email_match_weight == 1.0
+    assert EngineConfig.from_dict({"matching": {"_why": "x", "email_match_weight": 0.2}}).matching.email_match_weight == 0.2
+    with pytest.raises(ValueError, match="email_weight"):
+        EngineConfig.from_dict({"matching": {"email_weight": 0.2}})
+    with pytest.raises(ValueError, match="matchings"):
+        EngineConfig.from_dict({"matchings": {}})
 
 
 def test_clusters_do_not_depend_on_partitions(spark):
