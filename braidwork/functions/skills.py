@@ -102,3 +102,11 @@ def with_skills(df: DataFrame, key: str, column: str) -> DataFrame:
     done = each.join(table, "raw").groupBy(key).agg(F.array_sort(F.collect_list(F.struct("_i", "skill"))).alias("_s"))
     joined = df.join(done, key, "left")
     return joined.withColumn(column, F.coalesce(F.transform("_s", lambda x: x["skill"]), F.array().cast("array<string>"))).drop("_s")
+
+
+def with_duplicate(df: DataFrame, a: str, b: str, name: str = "duplicate") -> DataFrame:
+    """Adds whether the skills in a and b have one canonical name; nulls equal nulls."""
+    table = skill_table(df.select(F.explode(F.array(a, b)).alias("_raw")), "_raw")
+    for side in (a, b):
+        df = df.join(table.select(F.col("raw").alias(side), F.col("skill").alias(f"_skill_{side}")), side, "left")
+    return df.withColumn(name, F.col(f"_skill_{a}").eqNullSafe(F.col(f"_skill_{b}"))).drop(f"_skill_{a}", f"_skill_{b}")
