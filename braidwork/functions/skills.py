@@ -85,6 +85,22 @@ def fuzzy_skill(column) -> Column:
     return F.pandas_udf(run, "string")(column)
 
 
+def canonical(names: Column) -> Column:
+    """An array of names, each replaced by its canonical skill; unknown ones stay, in title case if they are in lower case."""
+    def one(name):
+        bare = (name or "").strip()
+        if not bare:
+            return name
+        low = bare.lower()
+        return KNOWN.get(low) or fuzzy(low) or (bare.title() if bare == low else bare)
+
+    def run(rows: pd.Series) -> pd.Series:
+        known = {x: one(x) for x in {y for row in rows if row is not None for y in row}}
+        return rows.map(lambda row: None if row is None else [known[x] for x in row])
+
+    return F.pandas_udf(run, "array<string>")(names)
+
+
 def skill_table(raw: DataFrame, column: str) -> DataFrame:
     """(raw, skill) of every distinct string: Python sees the distinct strings that the table does not know, nothing else."""
     names = raw.select(F.col(column).alias("raw")).where(F.col("raw").isNotNull()).distinct()

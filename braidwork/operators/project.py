@@ -11,7 +11,7 @@ from pyspark.sql.types import ArrayType, DataType, StructType
 
 from braidwork.config import ProjectionConfig
 from braidwork.functions.phones import normalize_phone
-from braidwork.functions.skills import exact_skill
+from braidwork.functions.skills import canonical
 
 
 def _at(kind: DataType, path: list[str], c: Column) -> Column | None:
@@ -47,12 +47,15 @@ def compile_path(schema: StructType, path: str) -> Column:
 
 
 def _normalized(c: Column, how: str | None, kind: DataType) -> Column:
-    rule = {"e164": lambda x: F.coalesce(normalize_phone(x, "IN"), x), "canonical": lambda x: F.coalesce(exact_skill(x), x)}.get((how or "").lower())
-    if rule is None:
+    how, many = (how or "").lower(), kind.simpleString() == "array<string>"
+    if not many and kind.simpleString() != "string":
         return c
-    if kind.simpleString() == "string":
-        return rule(c)
-    return F.transform(c, rule) if kind.simpleString() == "array<string>" else c
+    if how == "e164":
+        rule = lambda x: F.coalesce(normalize_phone(x, "IN"), x)
+        return F.transform(c, rule) if many else rule(c)
+    if how == "canonical":
+        return canonical(c) if many else F.get(canonical(F.array(c)), F.lit(0))
+    return c
 
 
 def project(profiles: DataFrame, cfg: ProjectionConfig) -> DataFrame:

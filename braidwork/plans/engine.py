@@ -176,6 +176,7 @@ class Result:
     rejections: DataFrame
     clusters: DataFrame
     summary: DataFrame
+    projection: ProjectionConfig
 
 
 @dataclass
@@ -191,9 +192,9 @@ class Engine:
         validated = written(validate(normalize(records, self.config), self.config), "records")
         clusters = match.clusters(validated, self.config)
         profiles = written(resolve(validated, clusters, self.config, self.as_of_year), "profiles")
-        ordered = profiles
-        projected = project(ordered.orderBy("cluster_id"), self.projection or ProjectionConfig.full())
-        return Result(profiles, projected, rejection_rows(validated), clusters, summary(profiles, validated))
+        shape = self.projection or ProjectionConfig.full()
+        # Unsorted: only the sink that writes one file needs an order.
+        return Result(profiles, project(profiles, shape), rejection_rows(validated), clusters, summary(profiles, validated), shape)
 
     def run_files(self, csv: str | None = None, resume_dir: str | None = None, resume_files: tuple[str, ...] = ()) -> Result:
         from braidwork.sources import csv as csv_source

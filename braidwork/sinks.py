@@ -7,6 +7,8 @@ import os
 
 from pyspark.sql import functions as F
 
+from braidwork.operators.project import project
+
 
 def write_lines(projected, path: str, mode: str = "overwrite") -> None:
     """JSON lines, in parallel."""
@@ -22,7 +24,7 @@ def write_document(result, path: str, pretty: bool = True) -> None:
         rejected.append(row | ({"raw_value": r["raw_value"]} if r["raw_value"] else {}))
     counts["validation_rejections"] = rejected
     os.makedirs(os.path.dirname(os.path.abspath(path)), exist_ok=True)
-    df = result.projected
+    df = project(result.profiles.orderBy("cluster_id"), result.projection)
     lines = df.select("json") if df.columns == ["candidate_id", "json"] else df.select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("json"))
     indent = 2 if pretty else None
     with open(path, "w", encoding="utf-8") as f:

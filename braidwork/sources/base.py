@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from typing import Protocol
 
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,12 +20,12 @@ class SourceAdapter(Protocol):
 
 
 def safely(read, spark: SparkSession, source: str, path: str) -> DataFrame:
-    """read(spark, path), or one record with the error if planning fails."""
+    """read(spark, path), or one record with the error if Spark or the file system refuses the path; other errors are raised."""
     from braidwork.sources.csv import error_record
 
     try:
         return read(spark, path)
-    except Exception as e:
+    except (PySparkException, OSError) as e:
         return error_record(spark, source, path, f"{type(e).__name__}: {str(e)[:200]}")
 
 

@@ -13,6 +13,7 @@ from braidwork.operators.project import project
 from braidwork.plans.engine import Engine
 from braidwork.schema import as_records
 from braidwork.sources import csv, resume
+from braidwork.sources.base import safely
 
 RESUME = """Sneha S Patel
 sneha@x.com | +91 98765 43210
@@ -64,6 +65,15 @@ def test_end_to_end(result, tmp_path):
     assert "Sneha Patel" in sinks.describe(result)
 
 
+def test_safely_raises_bugs(spark):
+    def broken(spark, path):
+        raise TypeError("a bug")
+
+    with pytest.raises(TypeError):
+        safely(broken, spark, "resume", "x")
+    assert safely(lambda s, p: s.read.parquet(p), spark, "resume", "/no/such/path").count() == 1
+
+
 def test_csv_errors(spark, tmp_path):
     assert csv.read(spark, str(tmp_path / "no.csv")).first().parse_errors[0].startswith("File not found")
     (tmp_path / "empty.csv").write_text("")
@@ -129,6 +139,9 @@ def test_projection(spark):
     assert [tuple(r) for r in project(df, shape("null")).collect()] == [("c1", None, ["b"], ["x"], None), ("c2", "N", [], [], None)]
     assert [json.loads(r.json) for r in project(df, shape("omit")).collect()] == [{"id": "c1", "rest": ["b"], "s": ["x"]}, {"id": "c2", "name": "N", "rest": [], "s": []}]
     assert [r.error for r in project(df, shape("error", required=True)).collect()] == ["Required field 'name' is missing", None]
+    named = spark.createDataFrame([("kafka developer", ["js", "basket weaving", "Tatting", None, ""]), (None, None)], "a string, b array<string>")
+    said = project(named, ProjectionConfig((OutputField("a", normalize="canonical"), OutputField("b", normalize="canonical")))).collect()
+    assert [tuple(r) for r in said] == [("Kafka", ["JavaScript", "Basket Weaving", "Tatting", None, ""]), (None, None)]
     with pytest.warns(UserWarning):
         assert project(df, ProjectionConfig((OutputField("x", "nothing"),))).first()[0] is None
 
