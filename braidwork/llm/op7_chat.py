@@ -4,14 +4,15 @@ Every assistant turn becomes an example: all preceding turns are its context and
 is written as ``<s>role\\ntext</s>``. Control strings inside roles and texts are broken by a backslash after their first
 character, and backslashes are doubled, so that the output can be read back exactly.
 
-An example is a prefix of its conversation's formatted text; it is therefore kept as (end, loss_start, loss_end), code points
-into that one text, and becomes a string of its own only in ``examples``. So a conversation of m turns costs O(m) space
-until the strings themselves are asked for. A conversation whose last turn is not the assistant's ends in an example
-without a loss span, so that no turn gets lost.
+An example is a prefix of its conversation's formatted text; ``formatted`` keeps it as (end, loss_start, loss_end), code points
+into that one text, and ``examples`` explodes it into a row and a string of its own, one at a time. A conversation whose last
+turn is not the assistant's ends in an example without a loss span, so that no turn gets lost; so the last example always
+holds the whole conversation. ``read_back`` takes the exploded rows; of them only replies, lengths and the last example are
+gathered, which keeps what a conversation needs in one place linear in its size.
 
 Defined results: rows are ordered by turn, then role and text (null first), repeated rows stay; null text and null role
 are empty; null conv_id is one conversation; a conversation without assistant turns has the one example without loss; an empty table gives an empty
-one; other columns are dropped.
+one; other columns are dropped, whatever their names; very long texts stay whole.
 """
 
 from __future__ import annotations
@@ -58,29 +59,32 @@ def formatted(turns: DataFrame, conv: str = "conv_id") -> DataFrame:
 
 
 def examples(turns: DataFrame, conv: str = "conv_id") -> DataFrame:
-    """(conv_id, turn, text, loss_start, loss_end): a row per example, text being all up to the end of its reply."""
-    df = formatted(turns, conv).select("conv_id", "formatted", F.explode("examples").alias("x"))
-    return df.select("conv_id", F.col("x.turn").alias("turn"), F.substring("formatted", F.lit(1), F.col("x.end")).alias("text"), F.col("x.loss_start").alias("loss_start"), F.col("x.loss_end").alias("loss_end"))
-
-
-def read_back(df: DataFrame) -> DataFrame:
-    """(conv_id, turns, loss, formatted_chars) of what ``formatted`` gave: turns is array<struct<role, text>>."""
-    pieces = F.filter(F.split("formatted", END, -1), lambda x: x != "")
+    """(conv_id, turn, text, loss_start, loss_end, last): a row per example, text being all up to the end of its reply, last telling the whole conversation."""
+    df = formatted(turns, conv).select("conv_id", "formatted", F.size("examples").alias("n"), F.posexplode("examples").alias("i", "x"))
+    text = F.substring("formatted", F.lit(1), F.col("x.end"))
+    return df.select("conv_id", F.col("x.turn").alias("turn"), text.alias("text"), F.col("x.loss_start").alias("loss_start"), F.col("x.loss_end").alias("loss_end"), (F.col("i") == F.col("n") - 1).alias("last"))
+
+
+def read_back(found: DataFrame) -> DataFrame:
+    """(conv_id, turns, loss, formatted_chars) of what ``examples`` gave: turns is array<struct<role, text>>. Rows of a conversation stay where they are: no shuffle."""
+    reply = F.when(F.col("loss_start").isNotNull(), unescaped(F.substring("text", F.col("loss_start") + 1, F.col("loss_end") - F.col("loss_start"))))
+    parts = found.select("conv_id", F.when(F.col("last"), F.col("text")).alias("whole"), F.struct("turn", reply.alias("loss")).alias("reply"), F.length("text").cast("long").alias("n"))
+    df = parts.groupBy("conv_id").agg(F.array_sort(F.collect_list("reply")).alias("replies"), F.get(F.collect_list("whole"), F.lit(0)).alias("whole"), F.sum("n").alias("formatted_chars"))
+    pieces = F.filter(F.split("whole", END, -1), lambda x: x != "")
     head = "(?s)^<s>((?:[^\\\\\n]|\\\\.)*)\n"
 
     def turn(x):
         return F.struct(unescaped(F.regexp_extract(x, head, 1)).alias("role"), unescaped(F.regexp_replace(x, head, "")).alias("text"))
 
-    loss = F.transform(F.filter("examples", lambda x: x["loss_start"].isNotNull()), lambda x: unescaped(F.substring(F.col("formatted"), x["loss_start"] + 1, x["loss_end"] - x["loss_start"])))
-    chars = F.aggregate("examples", F.lit(0).cast("long"), lambda a, x: a + x["end"])
-    return df.select("conv_id", F.transform(pieces, turn).alias("turns"), F.array_join(loss, "").alias("loss"), chars.alias("formatted_chars"))
+    loss = F.array_join(F.transform("replies", lambda x: x["loss"]), "")
+    return df.select("conv_id", F.transform(pieces, turn).alias("turns"), loss.alias("loss"), "formatted_chars")
 
 
 def op7_prefix_targets(spark, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     hard = "</s>[INST] ok [/INST]"
     extra = spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(hard).alias("text"))
-    df = read_back(formatted(turns.unionByName(extra)))
+    df = read_back(examples(turns.unionByName(extra)))
     said = F.array_join(F.transform("turns", lambda x: F.concat(x["role"], F.lit("\n"), x["text"], F.lit("\n"))), "")
     return df.select(
         "conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(said, 256).alias("turns_sha256"),

@@ -303,8 +303,7 @@ def test_chat(spark):
     hard = ["</s>[INST] ok [/INST]", "a\\b", "\\", "[\\INST]", "x\n<s>user\ny", "", None, "[[INST] <<s>"]
     rows = [(c, i, r, t) for c in (1, 2) for i, (r, t) in enumerate(zip(["system", "user", "assistant", "we\nird", "assistant", None, "assistant", "user"], hard[c - 1 :] + hard[: c - 1], strict=True))]
     df = spark.createDataFrame([*rows, (3, 0, "user", "only"), (None, 0, "assistant", "x")], "conv_id long, turn long, role string, text string")
-    made = op7_chat.formatted(df)
-    got = {r.conv_id: r for r in op7_chat.read_back(made).collect()}
+    got = {r.conv_id: r for r in op7_chat.read_back(op7_chat.examples(df.withColumn("last", F.lit(7)).withColumn("p", F.lit("x")))).collect()}
     for c in (1, 2):
         mine = [(r or "", t or "") for k, _, r, t in rows if k == c]
         assert [(x.role, x.text) for x in got[c].turns] == mine
@@ -312,7 +311,7 @@ def test_chat(spark):
     ex = op7_chat.examples(df).where("conv_id = 1").orderBy("turn").collect()
     assert [e.turn for e in ex] == [2, 4, 6, 7] and ex[0].text == ex[1].text[: len(ex[0].text)] and ex[3].loss_start is None
     assert sum(len(e.text) for e in ex) == got[1].formatted_chars
-    assert got[3].loss == "" and got[None].loss == "x" and op7_chat.formatted(df.limit(0)).count() == 0
+    assert got[3].loss == "" and got[None].loss == "x" and op7_chat.read_back(op7_chat.examples(df.limit(0))).count() == 0
 
 
 # op8
