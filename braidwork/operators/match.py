@@ -92,15 +92,18 @@ def group_metrics(cfg: EngineConfig):
 
     Records alike in name, company, emails and phones count once (and as a pair of their own), so a group of copies stays small.
     """
-    m, margin = cfg.matching, cfg.review.flag_near_threshold_margin
+    # Plain numbers, not the settings' classes, go to the workers.
+    by_email, by_phone, by_name, least_ratio = (float(x) for x in (cfg.matching.email_match_weight, cfg.matching.phone_match_weight, cfg.matching.name_company_match_weight, cfg.matching.fuzzy_name_min_ratio))
+    threshold = float(cfg.matching.merge_decision_threshold)
+    low = threshold - cfg.review.flag_near_threshold_margin
 
     def pair(x, y):
         email, phone = float(not x[2].isdisjoint(y[2])), float(not x[3].isdisjoint(y[3]))
         n = token_set(x[0], y[0])
         name = 0.0
-        if n >= m.fuzzy_name_min_ratio:
+        if n >= least_ratio:
             name = n / 100 * (0.7 + 0.3 * token_set(x[1], y[1]) / 100 if x[1] and y[1] else 0.7)
-        score = min(1.0, email * m.email_match_weight + phone * m.phone_match_weight + name * m.name_company_match_weight)
+        score = min(1.0, email * by_email + phone * by_phone + name * by_name)
         apart = bool(phone) and not email and x[0] != y[0] and token_set(x[0], y[0]) < 60 and set(x[0].split()).isdisjoint(y[0].split())
         return score, [k for k, v in (("email", email), ("phone", phone), ("name_company", name)) if v], apart
 
@@ -113,12 +116,11 @@ def group_metrics(cfg: EngineConfig):
             seen[key] = seen.get(key, 0) + 1
         best, near, used, mismatch = 0.0, False, set(), False
         kinds = list(seen)
-        low = m.merge_decision_threshold - margin
         for i, x in enumerate(kinds):
             for y in kinds[i if seen[x] > 1 else i + 1 :]:
                 score, names, apart = pair(x, y)
                 best, mismatch = max(best, score), mismatch or apart
-                near = near or low <= score < m.merge_decision_threshold
+                near = near or low <= score < threshold
                 used.update(names)
         return best, near, sorted(used) or ["no_match"], mismatch
 

@@ -1,12 +1,17 @@
 import itertools
 import json
+import os
 import random
+import subprocess
+import sys
 
 import pytest
+from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
 from braidwork import sinks
 from braidwork.config import EngineConfig, OutputField, ProjectionConfig
+from braidwork.functions import similarity, skills
 from braidwork.operators import match
 from braidwork.operators.components import connected_components
 from braidwork.operators.project import project
@@ -146,6 +151,15 @@ def test_projection(spark):
         assert project(df, ProjectionConfig((OutputField("x", "nothing"),))).first()[0] is None
 
 
+def test_workers_need_no_package(tmp_path):
+    """Functions for workers load where the package cannot be imported."""
+    made = (match.group_metrics(EngineConfig()).func, similarity.token_set, skills.fuzzy, resume.document_text, resume.jobs, resume.education)
+    (tmp_path / "f").write_bytes(cloudpickle.dumps(made))
+    code = "import sys; from pyspark import cloudpickle; f = cloudpickle.load(open('f', 'rb')); assert f[1]('a b', 'b a') == 100 and f[2]('kafka x') == 'Kafka' and 'braidwork' not in sys.modules"
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, check=True)
+
+
 def test_config_sections():
     cfg = EngineConfig.from_dict({"_note": "x", "validation": {"date_min_year": 1800}})
     assert cfg.validation.date_min_year == 1800 and cfg.validation.date_max_year == 2030 and cfg.matching.email_match_weight == 1.0
