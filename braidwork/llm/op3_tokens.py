@@ -22,13 +22,16 @@ LIMIT = 1024
 CACHE = 400_000
 # The pre-token pattern of byte-level BPE vocabularies, and white space by Unicode.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+# The same pattern over ASCII alone, for the standard library's faster matcher.
+ASCII = r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-z]+| ?[0-9]+| ?[^\t-\r A-Za-z0-9]+|[\t-\r ]+(?![^\t-\r ])|[\t-\r ]+"
 SPECIAL = "<|endoftext|>"
 
 
 def _counter(name: str):
     def count(batches):
+        import re
         from collections import Counter
-
+        from operator import mul
         from unicodedata import category
 
         import public_tokenizers
@@ -41,7 +44,7 @@ def _counter(name: str):
         # Special strings within a text, longest first, as the library finds them.
         special = sorted((t.content for t in library.get_added_tokens_decoder().values()), key=len, reverse=True)
         cut = regex.compile("|".join(map(regex.escape, special))) if special else None
-        find = regex.compile(PATTERN).findall
+        find, find_ascii = regex.compile(PATTERN).findall, re.compile(ASCII).findall
         pieces: dict[str, int] = {}
         for batch in batches:
             tokens, sizes = [], []
@@ -54,9 +57,10 @@ def _counter(name: str):
                     extra = len(parts) - 1
                 frequency = Counter()
                 # Code points that a Unicode version has not assigned yet may be letters to one table and not to another.
-                odd = not text.isascii() and any(c > "\u0557" and category(c) == "Cn" for c in set(text))
+                plain = text.isascii()
+                odd = not plain and any(c > "\u0557" and category(c) == "Cn" for c in set(text))
                 for part in parts:
-                    frequency.update([part[a:b] for _, (a, b) in library.pre_tokenizer.pre_tokenize_str(part)] if odd else find(part))
+                    frequency.update([part[a:b] for _, (a, b) in library.pre_tokenizer.pre_tokenize_str(part)] if odd else (find_ascii if plain else find)(part))
                 new = [t for t in frequency if t not in pieces]
                 if new:
                     if len(pieces) + len(new) > CACHE:
@@ -65,7 +69,7 @@ def _counter(name: str):
                     for k in range(0, len(new), 10_000):
                         some = new[k : k + 10_000]
                         pieces.update(zip(some, map(len, library.encode_batch_fast(some, add_special_tokens=False)), strict=True))
-                tokens.append(extra + sum(n * pieces[t] for t, n in frequency.items()))
+                tokens.append(extra + sum(map(mul, frequency.values(), map(pieces.__getitem__, frequency))))
             yield pa.record_batch([batch.column(0), pa.array(sizes, pa.int64()), pa.array(tokens, pa.int64())], names=["key", "n_bytes", "n_tokens"])
 
     return count
