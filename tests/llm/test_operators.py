@@ -151,6 +151,20 @@ def test_tokens(spark, odd_docs):
     assert op3_tokens.token_counts(odd_docs).count() == 8
 
 
+@pytest.mark.parametrize(("hot", "entries"), [(0, 9), (1, 40), (4, 2_000_000)])
+def test_token_chunks(spark, odd_docs, hot, entries):
+    """Pre-tokens that are counted at once, that meet in one place, and that come back after their chunk ended."""
+    tokenizers, tokens = pytest.importorskip("tokenizers"), pytest.importorskip("public_tokenizers")
+    library = tokenizers.Tokenizer.from_file(tokens.path("byte_bpe_50k.json"))
+    rows = [(r.doc_id, r.text, "x") for r in odd_docs.collect()] + [(k % 5 or None, prose(k % 40), "y") for k in range(120)] + [(9, "same again", "z")] * 30
+    df = spark.createDataFrame(rows, "doc_id long, text string, n_tokens string").repartition(3)
+    want = collections.Counter((i, len((t or "").encode()), len(library.encode(t or "", add_special_tokens=False).ids)) for i, t, _ in rows)
+    assert collections.Counter(map(tuple, op3_tokens.token_counts(df, hot=hot, entries=entries).collect())) == want
+    named = df.select(F.col("doc_id").cast("string").alias("pre"), F.col("text").alias("task"))
+    assert op3_tokens.token_counts(named, "pre", "task", hot=hot, entries=entries).groupBy().sum("n_tokens").head()[0] == sum(n * k[2] for k, n in want.items())
+    assert op3_tokens.token_counts(df.limit(0)).count() == 0
+
+
 # op4
 
 
