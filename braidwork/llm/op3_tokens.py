@@ -23,8 +23,8 @@ from pyspark.sql import functions as F
 from braidwork.llm.common import table
 
 LIMIT = 1024
-HOT = 4
-DISTINCT, ENTRIES, KNOWN = 300_000, 2_000_000, 400_000
+HOT = 3
+DISTINCT, ENTRIES, KNOWN = 150_000, 300_000, 100_000
 # The pre-token pattern of byte-level BPE vocabularies, and white space by Unicode.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 # The same pattern over ASCII alone, for the standard library's faster matcher.
@@ -71,14 +71,14 @@ def _frequencies(name: str, hot: int, entries: int):
         split = regex.compile("|".join(map(regex.escape, special))) if special else None
         find, find_ascii = regex.compile(PATTERN).findall, re.compile(ASCII).findall
         known: dict[str, int] = {}
-        slots, at, often, sizes, counted, owed, keys = defaultdict(count().__next__), array("q"), array("q"), [], [], [], []
-        which, first = array("q"), 0
+        slots, at, often, sizes, counted, owed, keys = defaultdict(count().__next__), array("i"), array("i"), [], [], [], []
+        which, first = array("i"), 0
 
         def flush():
             """The chunk's own rows, then its pre-tokens."""
             nonlocal slots, at, often, which, sizes, counted, owed, keys, first
             names = list(slots)
-            slot, place, n = (np.frombuffer(a, np.int64) for a in (which, at, often))
+            slot, place, n = (np.frombuffer(a, np.int32) for a in (which, at, often))
             rows = np.bincount(slot, minlength=len(names))
             common = np.flatnonzero(rows > hot)
             count_of = np.zeros(len(names), np.int64)
@@ -90,7 +90,7 @@ def _frequencies(name: str, hot: int, entries: int):
                 known.update(zip(some[:KNOWN], count_of[common[:KNOWN]].tolist(), strict=True))
             total, debt = np.array(counted, np.int64), np.array(owed, np.int64)
             now = count_of[slot] > 0
-            np.add.at(total, place[now] - first, n[now] * count_of[slot[now]])
+            np.add.at(total, place[now] - first, count_of[slot[now]] * n[now])
             np.subtract.at(debt, place[now] - first, n[now])
             places = (np.arange(first, first + len(total), dtype=np.int64) << 32) | debt
             own = pa.ListArray.from_arrays(pa.array(np.arange(len(total) + 1, dtype=np.int32)), pa.array(places))
@@ -100,7 +100,7 @@ def _frequencies(name: str, hot: int, entries: int):
             yield pa.record_batch([pa.array(np.full(m, task, np.int32)), none(m, pa.string()), own, key, pa.array(sizes, pa.int64()), pa.array(total)], names=columns)
             rest = np.flatnonzero(~now)
             rest = rest[np.argsort(slot[rest], kind="stable")]
-            pairs = (place[rest] << 32) | n[rest]
+            pairs = (place[rest].astype(np.int64) << 32) | n[rest]
             rare = np.flatnonzero(rows <= hot)
             ends = np.concatenate(([0], np.cumsum(rows[rare])))
             for k in range(0, len(rare), 20_000):
@@ -109,8 +109,8 @@ def _frequencies(name: str, hot: int, entries: int):
                 m, text = len(some), pa.array([names[i] for i in some.tolist()], pa.string())
                 yield pa.record_batch([pa.array(np.full(m, task, np.int32)), text, lists, none(m, key.type), none(m, pa.int64()), none(m, pa.int64())], names=columns)
             first += len(total)
-            slots, at, often, sizes, counted, owed, keys = defaultdict(count().__next__), array("q"), array("q"), [], [], [], []
-            which = array("q")
+            slots, at, often, sizes, counted, owed, keys = defaultdict(count().__next__), array("i"), array("i"), [], [], [], []
+            which = array("i")
 
         for batch in batches:
             begun = 0
@@ -142,6 +142,9 @@ def _frequencies(name: str, hot: int, entries: int):
                 keys.append(batch.column(0).slice(begun))
         if sizes:
             yield from flush()
+        # The worker process stays for other tasks: its free memory goes back to the machine.
+        known.clear()
+        pa.default_memory_pool().release_unused()
 
     return cut
 
