@@ -24,7 +24,7 @@ from braidwork.llm.common import table
 
 LIMIT = 1024
 HOT = 3
-DISTINCT, ENTRIES, KNOWN = 150_000, 300_000, 100_000
+DISTINCT, ENTRIES, KNOWN = 200_000, 500_000, 200_000
 # The pre-token pattern of byte-level BPE vocabularies, and white space by Unicode.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 # The same pattern over ASCII alone, for the standard library's faster matcher.
@@ -32,6 +32,10 @@ ASCII = r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-z]+| ?[0-9]+| ?[^\t-\r A-Za-z0-9]+|[\t
 
 
 def _library(name: str):
+    import os
+
+    # One thread: a task has one core, and each thread would hold memory of its own.
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
     import public_tokenizers
     from tokenizers import Tokenizer
 
@@ -40,11 +44,23 @@ def _library(name: str):
     library.no_padding()
 
     def pieces(some: list[str]) -> list[int]:
-        return [len(e) for k in range(0, len(some), 10_000) for e in library.encode_batch_fast(some[k : k + 10_000], add_special_tokens=False)]
+        return [len(e) for k in range(0, len(some), 1_000) for e in library.encode_batch_fast(some[k : k + 1_000], add_special_tokens=False)]
 
     return library, pieces
 
 
+def _give_back() -> None:
+    """A worker process stays for other tasks: its free memory goes back to the machine."""
+    import ctypes
+    import gc
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def _frequencies(name: str, hot: int, entries: int):
     """Rows (key, text) to rows (task, pre, at, key, n_bytes, n_tokens).
 
@@ -142,9 +158,8 @@ def _frequencies(name: str, hot: int, entries: int):
                 keys.append(batch.column(0).slice(begun))
         if sizes:
             yield from flush()
-        # The worker process stays for other tasks: its free memory goes back to the machine.
         known.clear()
-        pa.default_memory_pool().release_unused()
+        _give_back()
 
     return cut
 
@@ -178,6 +193,7 @@ def _joined(name: str):
             yield pa.record_batch(out, names=["row", "key", "n_bytes", "n_tokens", "owed"])
             if new:
                 last, n_last = new[-1], count_of[new[-1]]
+        _give_back()
 
     return join
 
