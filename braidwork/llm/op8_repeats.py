@@ -7,14 +7,15 @@ pointer is a hash, so that all workers give equal strings the same pointer witho
    wherever they stand; windows in a row of the same bucket form a run (about one per 18 bytes).
 2. A run's bucket is refined by the pointers of later offsets: Q-gram pointers at i and i + 16 give the pointer at depth 32, this one and that at
    i + 18 the pointer at depth 50, and those of a run's first and last window the pointer of the whole run. Runs meet in the bucket
-   of their Q-gram; a chunk sends one row, that of its least id, for all its runs with one pointer, so that a passage in a third of
-   all documents costs a row per chunk. Buckets with one document are done; of runs with equal pointers (48 + 63 bits) all but
-   the least id's are covered whole. Only where a bucket has several pointers, it is unresolved, and the least id of each pointer is asked
-   for its bytes.
+   of their Q-gram; some chunks together send one row, that of the least id, for all their runs with one pointer, so that a passage in a third of
+   all documents costs a row per task. Buckets with one document are done; of runs with equal pointers (41 + 63 bits) all but
+   the least id's are covered whole. A bucket with several pointers is refined at depth 32, on both sides: runs that share a window agree on the 16 bytes
+   before the bucket's Q-gram or on those behind it (16 bits of each go with the run). Only runs that so agree with another document's are
+   unresolved, and the least id of each pointer is asked for its bytes; where the Q-gram repeats within a run, the whole bucket is.
 3. Unresolved buckets are refined on the bytes themselves: initial 8-gram buckets by the pointers 8, then 16, then 18 bytes on, each round taking
    up the pointers that the last one left; buckets of one string are never touched again. Windows in one final bucket are
    equal; the least id keeps its own.
-4. The removed intervals join the texts, which are cut and hashed. The texts are shuffled once, by id; both joins read that shuffle.
+4. The removed intervals join the texts, which are cut and hashed. The texts are shuffled once, by id and compressed; both joins read that shuffle.
 
 Defined results: null text is empty; null ids rank last, in the order of a hash of their texts; rows that repeat an id are documents of one
 rank, none removes from the other; texts of any length are taken in pieces; ties go to the least id; an empty table gives an empty
@@ -34,6 +35,12 @@ LENGTH, Q = 50, 16
 MOST = LENGTH - Q + 1
 #: Bytes that a worker names at a time; longer texts are taken in pieces that overlap by LENGTH - 1.
 CHUNK = 3_000_000
+#: Runs that a worker gathers from several chunks before it deals them out: more to a bucket at a time take fewer bytes.
+GATHER = 1_000_000
+#: Low bits that tell the place of a Q-gram in its chunk; the bucket's name is what is above.
+PLACE = 23
+#: Sides of a run whose Q-gram repeats within it; a side that no window reaches is zero.
+REPEATED = 0xFFFFFFFF
 #: Ranks of rows without an id start here.
 NO_ID = 1 << 62
 LAST = (1 << 63) - 1
@@ -80,9 +87,10 @@ def _least(h):
 
 
 def _runs(pieces: list[tuple[int, bytes]]):
-    """pieces (offset in its document, bytes): arrays (piece, start in the piece, number of windows, name, code) of their runs.
+    """pieces (offset in its document, bytes): arrays (piece, start in the piece, number of windows, name, code, sides) of their runs.
 
-    The name (48 bits) is the pointer of the run's Q-gram bucket, the code (63 bits) that of the whole run.
+    The name (41 bits) is the pointer of the run's Q-gram bucket, the code (63 bits) that of the whole run; sides has 16 bits of the pointers of the
+    16 bytes before and behind the bucket's Q-gram. Of equal Q-grams under a window the first counts.
     """
     import numpy as np
 
@@ -90,9 +98,12 @@ def _runs(pieces: list[tuple[int, bytes]]):
     lens = np.array([len(b) for _, b in pieces], np.int64)
     none = np.zeros(0, np.int64)
     if len(raw) < LENGTH:
-        return none, none, none, none.astype(np.uint64), none.astype(np.uint64)
+        return none, none, none, none.astype(np.uint64), none.astype(np.uint64), none.astype(np.uint32)
+    assert len(raw) < 1 << PLACE
     depth = _pointers(raw)
-    names = _least(depth)
+    shift, low = np.uint64(PLACE), np.uint64((1 << PLACE) - 1)
+    least = _least((depth & ~low) | np.arange(len(depth), dtype=np.uint64))
+    names = least >> shift
     ends = np.cumsum(lens)
     starts = ends - lens
     # A run starts where the name changes or a piece does, and ends before the next run or the first window that leaves its piece.
@@ -116,30 +127,65 @@ def _runs(pieces: list[tuple[int, bytes]]):
         return _refined(a, b)
 
     code = _refined(window(at), window(stop - 1) + (stop - at).astype(np.uint64))
-    return piece, at - starts[piece], stop - at, names[at] >> np.uint64(16), code >> np.uint64(1)
+    place, last = (least[at] & low).astype(np.int64), (least[stop - 1] & low).astype(np.int64)
+
+    def side(i, reached):  # 1 to 65534
+        return np.where(reached, (depth[np.clip(i, 0, len(depth) - 1)] >> np.uint64(48)) % np.uint64(65534) + np.uint64(1), np.uint64(0)).astype(np.uint32)
+
+    # A window reaches 17 bytes or more before the Q-gram, or else 18 or more behind it.
+    sides = (side(place - Q, place - at > Q) << np.uint32(16)) | side(place + Q, place - stop < Q)
+    sides[place != last] = REPEATED
+    return piece, at - starts[piece], stop - at, names[at], code >> np.uint64(1), sides
+
+
+def _squeezed(raw: bytes) -> bytes:
+    """Compressed, behind the length; as it is behind a zero if that is no shorter."""
+    small = pa.compress(raw, codec="zstd", asbytes=True)
+    return len(raw).to_bytes(8, "little") + small if len(small) < len(raw) else bytes(8) + raw
+
+
+def _expanded(blob: bytes) -> bytes:
+    size = int.from_bytes(blob[:8], "little")
+    return pa.decompress(blob[8:], size, codec="zstd", asbytes=True) if size else blob[8:]
 
 
 def _packed(values) -> bytes:
-    """Eight-byte integers, first bytes first: the high ones are mostly zero and compress away."""
+    """Integers of four or eight bytes, first bytes first: the high ones are mostly zero and compress away."""
     import numpy as np
 
-    return np.ascontiguousarray(np.ascontiguousarray(values).view(np.uint8).reshape(-1, 8).T).tobytes()
+    values = np.ascontiguousarray(values)
+    return _squeezed(np.ascontiguousarray(values.view(np.uint8).reshape(-1, values.itemsize).T).tobytes())
 
 
 def _unpacked(blobs: list[bytes], kind):
     import numpy as np
 
-    parts = [np.ascontiguousarray(np.frombuffer(b, np.uint8).reshape(8, -1).T).view(kind).ravel() for b in blobs if b]
+    size = np.dtype(kind).itemsize
+    parts = [np.ascontiguousarray(np.frombuffer(_expanded(b), np.uint8).reshape(size, -1).T).view(kind).ravel() for b in blobs if b]
+    return np.concatenate(parts) if parts else np.zeros(0, kind)
+
+
+def _steps(values) -> bytes:
+    """Integers in rising order, by their differences."""
+    import numpy as np
+
+    return _packed(np.diff(values, prepend=values.dtype.type(0)))
+
+
+def _summed(blobs: list[bytes], kind):
+    import numpy as np
+
+    parts = [np.cumsum(_unpacked([b], kind), dtype=kind) for b in blobs if b]
     return np.concatenate(parts) if parts else np.zeros(0, kind)
 
 
 def _pieces(batches, more: bool):
-    """Lists of (id, row, offset, bytes, wanted names), each of about CHUNK bytes."""
+    """Lists of (id, row, offset, bytes, wanted names), each of about CHUNK bytes. With more, the texts come compressed, with their rows and wanted names."""
     held, size = [], 0
     for batch in batches:
         columns = [batch.column(i) for i in range(batch.num_columns)]
         for i in range(batch.num_rows):
-            raw = (columns[1][i].as_py() or "").encode()
+            raw = _expanded(columns[1][i].as_py()) if more else (columns[1][i].as_py() or "").encode()
             if len(raw) < LENGTH:
                 continue
             key = columns[0][i].as_py()
@@ -172,57 +218,112 @@ def _rows(columns: dict, types: dict):
     return pa.record_batch([pa.array(columns[c], t) for c, t in types.items()], names=list(types))
 
 
-NAMED = {"bucket": pa.int32(), "ids": pa.binary(), "names": pa.binary(), "codes": pa.binary()}
+NAMED = {"bucket": pa.int32(), "ids": pa.binary(), "names": pa.binary(), "codes": pa.binary(), "sides": pa.binary()}
+
+
+def _dealt(n_buckets: int, name, code, ids, sides):
+    """Rows for what some chunks have found."""
+    import numpy as np
+
+    order = np.lexsort((ids, code, name))
+    name, code, ids, sides = name[order], code[order], ids[order], sides[order]
+    first = np.ones(len(name), bool)
+    first[1:] = (name[1:] != name[:-1]) | (code[1:] != code[:-1])
+    least = ids[np.flatnonzero(first)][np.cumsum(first) - 1]
+    out = {c: [] for c in NAMED}
+    # The least id of each name and code goes to the name's bucket, in the order of names; the others are known to be covered: to their own buckets, below zero.
+    at = np.flatnonzero(first)
+    for number, part in _split((name[at] % np.uint64(n_buckets)).astype(np.int64)):
+        part = at[part]
+        out["bucket"].append(number)
+        out["ids"].append(_packed(ids[part]))
+        out["names"].append(_steps(name[part] // np.uint64(n_buckets)))
+        out["codes"].append(_packed(code[part]))
+        out["sides"].append(_packed(sides[part]))
+    at = np.flatnonzero(ids > least)
+    if len(at):
+        order = np.lexsort((code[at], ids[at]))
+        at = at[order]
+        again = np.zeros(len(at), bool)  # the same in a document says no more
+        again[1:] = (ids[at][1:] == ids[at][:-1]) & (code[at][1:] == code[at][:-1])
+        at = at[~again]
+        for number, part in _split(ids[at] % n_buckets):
+            part = at[part]
+            out["bucket"].append(-1 - number)
+            out["ids"].append(_steps(ids[part]))
+            out["names"].append(b"")
+            out["codes"].append(_packed(code[part]))
+            out["sides"].append(b"")
+    return _rows(out, NAMED)
 
 
 def _send_names(n_buckets: int):
     def send(batches):
         import numpy as np
 
+        found, size = [], 0
         for held in _pieces(batches, False):
-            piece, _, _, name, code = _runs([(x[2], x[3]) for x in held])
+            piece, _, _, name, code, sides = _runs([(x[2], x[3]) for x in held])
             if not len(name):
                 continue
-            ids = np.array([x[0] for x in held], np.int64)[piece]
-            order = np.lexsort((ids, code, name))
-            name, code, ids = name[order], code[order], ids[order]
-            first = np.ones(len(name), bool)
-            first[1:] = (name[1:] != name[:-1]) | (code[1:] != code[:-1])
-            least = ids[np.flatnonzero(first)][np.cumsum(first) - 1]
-            out = {c: [] for c in NAMED}
-            # The least id of each name and code goes to the name's bucket; the others are known to be covered: to their own buckets, below zero.
-            for some, below in ((first, False), (ids > least, True)):
-                i, n, c = ids[some], name[some], code[some]
-                for number, part in _split((i % n_buckets) if below else (n % np.uint64(n_buckets)).astype(np.int64)):
-                    out["bucket"].append(-1 - number if below else number)
-                    out["ids"].append(_packed(i[part]))
-                    out["names"].append(b"" if below else _packed(n[part]))
-                    out["codes"].append(_packed(c[part]))
-            yield _rows(out, NAMED)
+            found.append((name, code, np.array([x[0] for x in held], np.int64)[piece], sides))
+            size += len(name)
+            if size >= GATHER:
+                yield _dealt(n_buckets, *(np.concatenate(x) for x in zip(*found, strict=True)))
+                found, size = [], 0
+        if found:
+            yield _dealt(n_buckets, *(np.concatenate(x) for x in zip(*found, strict=True)))
 
     return send
 
 
+def _several(group, code, ids):
+    """For each entry, whether its group has different codes and different ids."""
+    import numpy as np
+
+    order = np.argsort(group, kind="stable")
+    at = np.flatnonzero(np.append(True, group[order][1:] != group[order][:-1]))
+    some = np.ones(len(at), bool)
+    for values in (code[order], ids[order]):
+        some &= np.minimum.reduceat(values, at) < np.maximum.reduceat(values, at)
+    out = np.zeros(len(group), bool)
+    out[order] = np.repeat(some, np.diff(np.append(at, len(group))))
+    return out
+
+
+def _shared(name, code, ids, sides):
+    """Which runs may share a window with a different run of another document."""
+    import numpy as np
+
+    shared = np.zeros(len(name), bool)
+    if not len(name):
+        return shared
+    at = np.flatnonzero(_several(name, code, ids))
+    if len(at):
+        code, ids, sides = code[at], ids[at], sides[at]
+        _, group = np.unique(name[at], return_inverse=True)
+        shared[at] = np.bincount(group, weights=sides == REPEATED)[group] > 0
+        for half in (sides >> np.uint32(16), sides & np.uint32(0xFFFF)):
+            shared[at] |= (half > 0) & _several((group << 16) | half.astype(np.int64), code, ids)
+    return shared
+
+
 def _told(t: pa.Table) -> pa.Table:
     """(id, told) of one bucket: twice the code, plus one if the run is covered; else its bytes are asked for."""
     import numpy as np
 
-    ids, codes = _unpacked(t["ids"].to_pylist(), np.int64), _unpacked(t["codes"].to_pylist(), np.uint64)
+    codes = _unpacked(t["codes"].to_pylist(), np.uint64)
     if t["bucket"][0].as_py() < 0:
-        told = codes * np.uint64(2) + np.uint64(1)
+        ids, told = _summed(t["ids"].to_pylist(), np.int64), codes * np.uint64(2) + np.uint64(1)
     else:
-        names = _unpacked(t["names"].to_pylist(), np.uint64)
+        ids, names, sides = _unpacked(t["ids"].to_pylist(), np.int64), _summed(t["names"].to_pylist(), np.uint64), _unpacked(t["sides"].to_pylist(), np.uint32)
         order = np.lexsort((ids, codes, names))
-        ids, codes, names = ids[order], codes[order], names[order]
-        new_name = np.ones(len(ids), bool)
-        new_name[1:] = names[1:] != names[:-1]
-        new_code = new_name.copy()
-        new_code[1:] |= codes[1:] != codes[:-1]
-        group, at = np.cumsum(new_name) - 1, np.flatnonzero(new_name)
+        ids, codes, names, sides = ids[order], codes[order], names[order], sides[order]
+        new_code = np.ones(len(ids), bool)
+        new_code[1:] = (names[1:] != names[:-1]) | (codes[1:] != codes[:-1])
         least = ids[np.flatnonzero(new_code)][np.cumsum(new_code) - 1]
         covered = ids > least
-        mixed = (np.bincount(group, weights=new_code) > 1) & (np.minimum.reduceat(ids, at) != np.maximum.reduceat(ids, at)) if len(ids) else np.zeros(0, bool)
-        keep = covered | (mixed[group] if len(ids) else covered)
+        keep = covered | _shared(names, codes, ids, sides)
         ids, told = ids[keep], codes[keep] * np.uint64(2) + covered[keep].astype(np.uint64)
     return pa.table({"id": pa.array(ids, pa.int64()), "told": pa.array(told.astype(np.int64), pa.int64())})
 
@@ -235,7 +336,7 @@ def _send_contexts(n_buckets: int):
         import numpy as np
 
         for held in _pieces(batches, True):
-            piece, start, windows, name, code = _runs([(x[2], x[3]) for x in held])
+            piece, start, windows, name, code, _ = _runs([(x[2], x[3]) for x in held])
             if not len(name):
                 continue
             cuts = np.searchsorted(piece, np.arange(len(held) + 1))
@@ -275,7 +376,7 @@ def _send_contexts(n_buckets: int):
                     out["bucket"].append(number)
                     for c, v in values.items():
                         out[c].append(_packed(v[part]))
-                    out["bytes"].append(b"".join([contexts[j] for j in part.tolist()]))
+                    out["bytes"].append(_squeezed(b"".join([contexts[j] for j in part.tolist()])))
             if out["bucket"]:
                 yield _rows(out, CONTEXTS)
 
@@ -336,7 +437,7 @@ def _removed(t: pa.Table) -> pa.Table:
     import numpy as np
 
     ids, rows, starts, sizes = (_unpacked(t[c].to_pylist(), np.int64) for c in ("ids", "rows", "starts", "sizes"))
-    names, raw = _unpacked(t["names"].to_pylist(), np.uint64), b"".join(t["bytes"].to_pylist())
+    names, raw = _unpacked(t["names"].to_pylist(), np.uint64), b"".join([_expanded(b) for b in t["bytes"].to_pylist() if b])
     if t["bucket"][0].as_py() < 0:
         return pa.table({"id": ids, "row": rows, "start": starts, "end": starts + sizes})
     at = np.cumsum(sizes) - sizes
@@ -391,7 +492,7 @@ def _cut(batches):
     for batch in batches:
         out = {"n_bytes": [], "n_removed": [], "n_spans": [], "kept": [], "digest": []}
         for i in range(batch.num_rows):
-            raw, own = (batch.column(1)[i].as_py() or "").encode(), batch.column(2)[i].as_py()
+            raw, own = _expanded(batch.column(1)[i].as_py()), batch.column(2)[i].as_py()
             rows, starts, ends = (np.array(batch.column(k)[i].as_py() or [], np.int64) for k in (3, 4, 5))
             starts, ends = starts[rows == own], ends[rows == own]
             order = np.argsort(starts, kind="stable")
@@ -414,6 +515,13 @@ def _cut(batches):
         yield pa.record_batch([batch.column(0), *made.columns], names=["key", *types])
 
 
+def _pack_texts(batches):
+    """Rows (key, id, row, text) with the text compressed."""
+    for batch in batches:
+        packed = pa.array([_squeezed(t.as_py().encode()) for t in batch.column(3)], pa.binary())
+        yield pa.record_batch([*batch.columns[:3], packed], names=["key", "id", "row", "packed"])
+
+
 def stored_bytes(df: DataFrame) -> int:
     """Bytes of the input as the plan's statistics have them: no job is run."""
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
@@ -426,16 +534,18 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     kind = docs.schema[key].dataType.simpleString()
     nameless = F.shiftrightunsigned(F.xxhash64(text_of(text)), 2) + F.lit(NO_ID)
     d = docs.select(F.col(key).alias("key"), F.coalesce(F.col(key).cast("long"), nameless).alias("id"), text_of(text).alias("text"))
-    named = d.select("id", "text").mapInArrow(_send_names(n_buckets), "bucket int, ids binary, names binary, codes binary")
+    named = d.select("id", "text").mapInArrow(_send_names(n_buckets), "bucket int, ids binary, names binary, codes binary, sides binary")
     told = named.groupBy("bucket").applyInArrow(_told, "id long, told long")
     wanted = told.groupBy("id").agg(F.collect_list("told").alias("wanted"))
-    # Both joins have the same columns and the id as their only key, so that one shuffle of the texts serves them.
-    texts = d.repartition(parts, "id")
-    asked = texts.join(wanted, "id").select("id", "text", F.xxhash64("text").alias("row"), "wanted", "key")
+    # Both joins have the same columns and the id as their only key, so that one shuffle of the texts serves them;
+    # that no id is null is said here, as the inner join would else say it for its side alone.
+    packed = d.select("key", "id", F.xxhash64("text").alias("row"), "text").mapInArrow(_pack_texts, f"key {kind}, id long, row long, packed binary")
+    texts = packed.where(F.col("id").isNotNull()).repartition(parts, "id")
+    asked = texts.join(wanted, "id").select("id", "packed", "row", "wanted", "key")
     contexts = asked.mapInArrow(_send_contexts(n_buckets), "bucket int, ids binary, rows binary, starts binary, sizes binary, names binary, bytes binary")
     gone = contexts.groupBy("bucket").applyInArrow(_removed, "id long, row long, start long, end long")
     gone = gone.groupBy("id").agg(F.collect_list(F.struct("row", "start", "end")).alias("x"))
-    found = texts.join(gone, "id", "left").select("key", "text", F.xxhash64("text").alias("row"), F.col("x.row").alias("r"), F.col("x.start").alias("s"), F.col("x.end").alias("e"))
+    found = texts.join(gone, "id", "left").select("key", "packed", "row", F.col("x.row").alias("r"), F.col("x.start").alias("s"), F.col("x.end").alias("e"))
     return found.mapInArrow(_cut, f"key {kind}, n_bytes long, n_removed long, n_spans long, kept binary, digest string")
 
 

@@ -6,6 +6,7 @@ import math
 import random
 import re
 
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -377,6 +378,27 @@ def test_repeats_random(spark):
     assert got == repeats_brute(list(enumerate(texts)))
 
 
+def test_repeats_asks_few():
+    """Runs that share a Q-gram, but no window, are not asked for their bytes: their number would grow faster than the table."""
+    rng = random.Random(9)
+    noise = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(n))
+    stock, shared = [noise(24) for _ in range(5)], noise(60)
+    texts = ["".join(noise(40) + rng.choice(stock) for _ in range(20)) for _ in range(200)]
+    texts[3], texts[8] = texts[3] + shared, shared + texts[8]
+    batch = pa.record_batch([pa.array(range(200), pa.int64()), pa.array(texts)], names=["id", "text"])
+    rows = pa.Table.from_batches(list(op8_repeats._send_names(1)([batch]))).to_pylist()
+    told = [x for r in rows for x in op8_repeats._told(pa.Table.from_pylist([r], pa.schema(op8_repeats.NAMED))).to_pylist()]
+    assert {x["id"] for x in told} >= {3, 8} and len(told) < 40
+
+
+def test_repeats_one_shuffle(spark):
+    """Both joins read one shuffle of the texts."""
+    found = op8_repeats.remove_repeats(docs(spark, ["one passage that is repeated " * 5] * 3))
+    found.collect()
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "ReusedExchange" in plan and "packed" in plan
+
+
 def test_refinement():
     raw = b"ab" * 60 + b"x" + b"ab" * 60 + bytes(random.Random(1).choices(b"abc", k=300)) * 2
     starts = list(range(len(raw) - 49))
