@@ -1,7 +1,10 @@
 """Near copies by the Jaccard similarity of the sets of five-word shingles, 0.8 or more.
 
-Candidates share a band of ROWS MinHash values in one of BANDS (a pair at 0.8 is missed with probability 3e-5, at 0.9 with
-1e-9); each is then decided by its exact similarity. Texts with equal sets fold into one node first. The nodes of
+Candidates come of SimHash covering first: the 64-bit fingerprints of the shingle sets under the 2^(RADIUS + 1) - 1 masks of ``op6_simhash``, so
+that no pair within RADIUS bits is missed. At 0.8 the fingerprints of half the pairs differ by ten bits or more, beyond what a covering
+reaches; those pairs share a band of ROWS MinHash values in one of BANDS (at 0.8 missed with probability 3e-5, at 0.9 with 1e-9). Only bands
+with nodes that the covering's links have not yet joined are looked at. Each
+candidate is decided by its exact similarity. Texts with equal sets fold into one node first. The nodes of
 the buckets' connected components are read in a worker and walked breadth-first: a node claims all unclaimed ones within
 the similarity, so a dense group costs little more than linear time and m nodes give at most m - 1 links. Components of more
 than SPLIT nodes are walked bucket by bucket instead, buckets with the same nodes once. Every pair that shares a bucket is
@@ -20,10 +23,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from braidwork.llm.common import unused
+from braidwork.llm.op6_simhash import masks
 from braidwork.operators.components import connected_components
 from braidwork.shared import written
 
 SHINGLE, SIMILARITY = 5, (4, 5)
+#: Bits by which fingerprints differ that the covering links, through 63 tables.
+RADIUS = 5
 BANDS, ROWS = 20, 4
 SPLIT = 2_000
 
@@ -65,7 +71,7 @@ def _mixed(h):
 
 
 def _prints(batches):
-    """Rows (row, key, text) to (row, key, node, bands)."""
+    """Rows (row, key, text) to (row, key, node, fp, bands)."""
     import numpy as np
     import xxhash
 
@@ -74,10 +80,14 @@ def _prints(batches):
     add = rng.integers(1, 1 << 63, (BANDS * ROWS, 1), dtype=np.uint64)
     shingles = _sets()
     for batch in batches:
-        nodes, bands = np.zeros(batch.num_rows, np.int64), np.zeros((batch.num_rows, BANDS), np.int64)
+        nodes, fps, bands = np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows, np.int64), np.zeros((batch.num_rows, BANDS), np.int64)
         for i, text in enumerate(batch.column(2)):
             s = shingles(text.as_py())
             nodes[i] = np.uint64(xxhash.xxh3_64_intdigest(s.tobytes())).astype(np.int64)
+            ones = np.zeros(64, np.int64)
+            for k in range(0, len(s), 65536):
+                ones += np.unpackbits(s[k : k + 65536].view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+            fps[i] = np.packbits(ones * 2 > len(s)).view(np.int64)[0]
             least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, np.uint64)
             for k in range(0, len(s), 1024):
                 np.minimum(least, (s[k : k + 1024] * odd + add).min(axis=1), out=least)
@@ -86,7 +96,7 @@ def _prints(batches):
                 h = _mixed(h ^ least[r::ROWS])
             bands[i] = h.view(np.int64)
         flat = pa.ListArray.from_arrays(pa.array(np.arange(0, bands.size + 1, BANDS, dtype=np.int32)), pa.array(bands.ravel()))
-        yield pa.record_batch([batch.column(0), batch.column(1), pa.array(nodes), flat], names=["row", "key", "node", "bands"])
+        yield pa.record_batch([batch.column(0), batch.column(1), pa.array(nodes), pa.array(fps), flat], names=["row", "key", "node", "fp", "bands"])
 
 
 def walk(nodes, sets):
@@ -160,17 +170,36 @@ def _parts(members: DataFrame, split: int) -> DataFrame:
     return parts.unionAll(dealt.join(once, "bucket", "left_semi").select(F.lit(1).alias("kind"), F.col("bucket").alias("part"), "node"))
 
 
-def links(docs: DataFrame, nodes: DataFrame, text: str = "text", split: int = SPLIT) -> DataFrame:
-    """(a, b): links that connect the near copies among nodes (node, bands, best); docs has _row."""
-    keyed = nodes.select("node", F.explode("bands").alias("bucket"))
-    shared = keyed.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket")
-    members = written(keyed.join(shared, "bucket", "left_semi"), "copies-buckets")
+def tables(nodes: DataFrame) -> DataFrame:
+    """(bucket, node, group): the buckets of the covering tables; equal fingerprints share all of them."""
+    signed = [m - (1 << 64) if m >= 1 << 63 else m for m in sorted(set(masks(RADIUS)))]
+    keys = F.array(*[F.xxhash64(F.lit(m), F.col("fp").bitwiseAND(F.lit(m))) for m in signed])
+    return nodes.select(F.explode(keys).alias("bucket"), "node", "group")
+
+
+def bands(nodes: DataFrame) -> DataFrame:
+    """(bucket, node, group): the buckets of the MinHash bands."""
+    return nodes.select(F.explode("bands").alias("bucket"), "node", "group")
+
+
+def links_within(keyed: DataFrame, docs: DataFrame, nodes: DataFrame, text: str, split: int) -> DataFrame:
+    """(a, b): links that connect the near copies in the buckets of keyed (bucket, node, group) that have several groups; docs has _row."""
+    shared = keyed.groupBy("bucket").agg(F.min("group").alias("low"), F.max("group").alias("high")).where("low < high").select("bucket")
+    members = written(keyed.select("node", "bucket").join(shared, "bucket", "left_semi"), "copies-buckets")
     parts = written(_parts(members, split), "copies-parts")
     wanted = nodes.join(parts.select("node").distinct(), "node", "left_semi").select("node", F.col("best.row").alias("_row"))
     # Equal rows count once: only one of them is needed, and dropDuplicates() keeps to the join's partitions.
     texts = docs.select("_row", F.col(text).alias("text")).join(wanted, "_row").dropDuplicates(["_row"]).select("node", "text")
     ready = parts.join(texts, "node").select("kind", "part", "node", "text")
-    return ready.repartition("kind", "part").sortWithinPartitions("kind", "part").mapInArrow(_links, "a long, b long")
+    return written(ready.repartition("kind", "part").sortWithinPartitions("kind", "part").mapInArrow(_links, "a long, b long"), "copies-links")
+
+
+def links(docs: DataFrame, nodes: DataFrame, text: str = "text", split: int = SPLIT) -> DataFrame:
+    """(a, b): links that connect the near copies among nodes (node, fp, bands, best); docs has _row."""
+    near = links_within(tables(nodes.withColumn("group", F.col("node"))), docs, nodes, text, split)
+    joined = written(connected_components(near), "copies-joined")
+    grouped = nodes.join(joined, "node", "left").withColumn("group", F.coalesce("component", "node"))
+    return near.unionAll(links_within(bands(grouped), docs, nodes, text, split))
 
 
 def representatives(docs: DataFrame, key: str = "doc_id", text: str = "text", split: int = SPLIT) -> DataFrame:
@@ -182,10 +211,10 @@ def representatives(docs: DataFrame, key: str = "doc_id", text: str = "text", sp
         back = representatives(docs.withColumnRenamed("_row", own), own if key == "_row" else key, text, split)
         return back.withColumnRenamed(own, next(c for c in given if c.lower() == "_row"))
     rows = with_row(docs)
-    prints = rows.select(F.col("_row").alias("row"), F.col(key).alias("key"), text).mapInArrow(_prints, f"row binary, key {kind}, node long, bands array<long>")
+    prints = rows.select(F.col("_row").alias("row"), F.col(key).alias("key"), text).mapInArrow(_prints, f"row binary, key {kind}, node long, fp long, bands array<long>")
     best = F.min(F.struct(F.col("key").isNull().alias("none"), "key", "row")).alias("best")
-    nodes = written(written(prints, "copies-prints").groupBy("node").agg(F.any_value("bands").alias("bands"), best), "copies-nodes")
-    found = connected_components(written(links(rows, nodes, text, split), "copies-links"))
+    nodes = written(written(prints, "copies-prints").groupBy("node").agg(F.any_value("fp").alias("fp"), F.any_value("bands").alias("bands"), best), "copies-nodes")
+    found = connected_components(links(rows, nodes, text, split))
     named = nodes.select("node", "best").join(found, "node", "left").select(F.coalesce("component", "node").alias("component"), "best")
     keep = named.groupBy("component").agg(F.min("best").alias("best")).select(F.col("best.row").alias("_row"))
     return rows.join(written(keep, "copies-keep"), "_row", "left_semi").dropDuplicates(["_row"]).select(*docs.columns)

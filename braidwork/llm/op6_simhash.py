@@ -183,8 +183,9 @@ def components(prints: DataFrame, radius: int = RADIUS, split: int = SPLIT) -> D
 def representatives(docs: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """One row of each group of near-duplicates, with its own columns: five-word shingles, Jaccard similarity of 0.8 or more.
 
-    At 0.8 two 64-bit fingerprints differ by ten bits on average and by up to twenty, for which a covering would take 2^20 tables or more;
-    candidates come from MinHash bands instead (``near_copies``), and each is decided by its exact similarity.
+    Candidates come of covering tables for fingerprints of five-word shingles within five bits, then (at 0.8 two fingerprints differ by ten bits on
+    average and by up to twenty, for which a covering would take 2^20 tables or more) of MinHash bands for what the covering's links have not
+    joined (``near_copies``). Each is decided by its exact similarity.
     """
     from braidwork.llm import near_copies
 

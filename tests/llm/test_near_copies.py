@@ -51,3 +51,32 @@ def test_stage_takes_0_8(spark, tmp_path):
     rows = [(1, " ".join(base)), (2, " ".join(copy)), (3, " ".join(far[::-1]))]
     df = spark.createDataFrame(rows, "doc_id long, text string")
     assert sorted(r.doc_id for r in corpus_pipeline.near_duplicates(spark, df, "").collect()) == [1, 3]
+
+
+def close(spark, rng):
+    """Long texts with an edit or two: all near copies, most of them within the covering's radius."""
+    texts = []
+    for _ in range(12):
+        base = [f"w{rng.randrange(5000)}" for _ in range(500)]
+        texts += [" ".join(base)] + [" ".join(base[:k] + ["zz"] + base[k + 1 :]) for k in rng.sample(range(500), 4)]
+    return spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), texts
+
+
+def test_covering_decides(spark, monkeypatch):
+    """The stage's copies within the radius come of the covering alone; the bands add what is beyond it."""
+    df, texts = close(spark, random.Random(6))
+    prints = near_copies.with_row(df).select("_row", "doc_id", "text").mapInArrow(near_copies._prints, "row binary, key long, node long, fp long, bands array<long>")
+    fp = {r.key: r.fp for r in prints.collect()}
+    whole = brute(texts)
+    within = list(range(len(texts)))
+    sets = [shingles(t) for t in texts]
+    for _ in texts:
+        for i in range(len(texts)):
+            for j in range(i):
+                if ((fp[i] ^ fp[j]) % 2**64).bit_count() <= near_copies.RADIUS and 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]):
+                    within[i] = within[j] = min(within[i], within[j])
+    assert len(set(within)) < len(texts) - 30
+    assert sorted(r.doc_id for r in corpus_pipeline.near_duplicates(spark, df, "").collect()) == whole
+    monkeypatch.setattr(near_copies, "bands", lambda nodes: near_copies.tables(nodes).limit(0))
+    kept = {r.doc_id for r in corpus_pipeline.near_duplicates(spark, df, "").collect()}
+    assert set(whole) <= kept <= set(within)  # a table may show pairs beyond the radius, too
