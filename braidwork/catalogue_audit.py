@@ -12,6 +12,7 @@ from braidwork.config import EngineConfig, OutputField, ProjectionConfig
 from braidwork.functions import dates, phones, skills, text
 from braidwork.operators import fuse, match, project, validate, versions
 from braidwork.plans.engine import NOTE, Engine
+from braidwork.shared import spread
 from braidwork.sources import resume
 
 _K = "CAST(c_custkey AS VARCHAR(20))"
@@ -36,7 +37,7 @@ def _resumes(spark, sf_dir):
     parts = []
     for name, said in _SECTION.items():
         parts += [said] if name == "HEADER" else [f"'{name.title()}:'", said]
-    df = base._table(spark, sf_dir, "customer")
+    df = spread(base._table(spark, sf_dir, "customer").select("c_custkey"), "c_custkey")
     return df.selectExpr("c_custkey AS rec_id", f"concat('r', {_K}, '.txt') AS source_file", f"concat({', chr(10), '.join(parts)}) AS text", "CAST(array() AS ARRAY<STRING>) AS parse_errors")
 
 
@@ -59,7 +60,7 @@ def resume_projects(spark, sf_dir):
 
 
 def resume_education(spark, sf_dir):
-    return resume.from_text(_resumes(spark, sf_dir)).select("rec_id", F.explode("education").alias("x")).select("rec_id", "x.*")
+    return resume.entries(resume.from_text(_resumes(spark, sf_dir)), "education")
 
 
 def match_decisions(spark, sf_dir):

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from braidwork.config import EngineConfig
-from braidwork.functions.text import company_key, safe_lower, trim_ws
+from braidwork.functions.text import company_key, let, safe_lower, trim_ws
 
 #: What a source's extractor says of its own fields.
 RESUME_METHOD = {"full_name": "heuristic", "headline": "heuristic"}
@@ -40,11 +40,6 @@ def gathered(records: DataFrame, clusters: DataFrame, columns: list[str]) -> Dat
     return df.groupBy("cluster_id").agg(F.array_sort(F.collect_list(F.struct("rec_id", *columns))).alias("recs"))
 
 
-def let(value: Column, use) -> Column:
-    """use(value), value being computed once for a row."""
-    return F.get(F.transform(F.array(value), use), F.lit(0))
-
-
 def in_priority(values: Column, cfg: EngineConfig) -> Column:
     """Structs with a source, sorted by priority; stable."""
     rank = priority(cfg)

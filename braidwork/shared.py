@@ -34,3 +34,13 @@ def written(df: DataFrame, name: str = "table") -> DataFrame:
     schema = df.schema
     df.write.parquet(path)
     return spark.read.schema(schema).parquet(path)
+
+
+#: Tasks for each core of the cluster, so that slow ones do not keep the others waiting.
+TASKS_PER_CORE = 4
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """df dealt out by keys, where it comes in fewer tasks than that: a file of a few MB is one task, whatever is to be done for each of its rows."""
+    least = TASKS_PER_CORE * df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(least, *keys) if df.rdd.getNumPartitions() < least else df
