@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from braidwork.functions.text import trim_ws
+from braidwork.functions.text import let, trim_ws
 
 #: region -> (calling code, national trunk prefix, valid national numbers)
 PLANS = {
@@ -23,10 +23,8 @@ PLANS = {
 
 
 def _abroad(digits: Column) -> Column:
-    out = F.lit(None).cast("string")
-    for code, _, national in dict.fromkeys(PLANS.values()):
-        out = F.coalesce(F.when(digits.rlike(f"^{code}(?:{national})$"), F.concat(F.lit("+"), digits)), out)
-    return out
+    plans = "|".join(f"{code}(?:{national})" for code, _, national in dict.fromkeys(PLANS.values()))
+    return F.when(digits.rlike(f"^(?:{plans})$"), F.concat(F.lit("+"), digits))
 
 
 def _at_home(digits: Column, region: str) -> Column:
@@ -37,8 +35,10 @@ def _at_home(digits: Column, region: str) -> Column:
 
 def normalize_phone(raw: Column, region: str = "IN") -> Column:
     """E.164 or null. The number's form decides which regions are tried, in order; the first with a valid number wins."""
-    s = trim_ws(raw)
-    digits = F.regexp_replace(s, "[^0-9]", "")
+    return let(trim_ws(raw), lambda s: let(F.regexp_replace(s, "[^0-9]", ""), lambda digits: _normalized(s, digits, region)))
+
+
+def _normalized(s: Column, digits: Column, region: str) -> Column:
     clean = s.rlike(r"^[+(]?[0-9][0-9\s().\-/]*$") | s.rlike(r"^\+?\(?[0-9]")
     first = lambda *regions: F.coalesce(*[_at_home(digits, r) for r in dict.fromkeys(regions) if r in PLANS], F.lit(None).cast("string"))
     n = F.length(digits)
