@@ -52,7 +52,7 @@ def resume_fields(spark, sf_dir):
 
 
 def resume_jobs(spark, sf_dir):
-    return resume.from_text(_resumes(spark, sf_dir)).select("rec_id", F.explode("experience").alias("x")).select("rec_id", "x.*")
+    return resume.entries(resume.from_text(_resumes(spark, sf_dir)), "experience")
 
 
 def resume_projects(spark, sf_dir):
