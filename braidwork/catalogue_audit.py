@@ -56,7 +56,7 @@ def resume_jobs(spark, sf_dir):
 
 
 def resume_projects(spark, sf_dir):
-    return resume.from_text(_resumes(spark, sf_dir)).select("rec_id", F.explode("projects").alias("x")).select("rec_id", "x.*")
+    return resume.entries(resume.from_text(_resumes(spark, sf_dir)), "projects")
 
 
 def resume_education(spark, sf_dir):
