@@ -43,7 +43,8 @@ def _resumes(spark, sf_dir):
 
 def resume_sections(spark, sf_dir):
     df = resume.with_sections(_resumes(spark, sf_dir))
-    return df.select("rec_id", F.explode("sections").alias("section", "body")).where("body <> ''")
+    # Outer, as an inner explode() has the sections worked out once more, in a filter on their number; there are always some.
+    return df.select("rec_id", F.explode_outer("sections").alias("section", "body")).where("body <> ''")
 
 
 def resume_fields(spark, sf_dir):

@@ -16,7 +16,7 @@ def customers(spark, tmp_path_factory):
     return str(d)
 
 
-@pytest.mark.parametrize("name", ["resume_education", "resume_fields", "resume_jobs", "resume_projects"])
+@pytest.mark.parametrize("name", ["resume_education", "resume_fields", "resume_jobs", "resume_projects", "resume_sections"])
 def test_a_text_is_split_once(spark, customers, name):
     df = entry.queries()[name](spark, customers)
     plan = df._jdf.queryExecution().optimizedPlan().toString()
