@@ -14,7 +14,7 @@ from braidwork.functions import dates, phones, places, skills, text
 from braidwork.operators import fuse, match, project, score, validate, versions
 from braidwork.plans.engine import Engine, normalize
 from braidwork.schema import as_records
-from braidwork.shared import written
+from braidwork.shared import spread, written
 from braidwork.sources import resume
 
 CFG = EngineConfig()
@@ -53,7 +53,7 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def people(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raw = _table(spark, sf_dir, "customer").selectExpr(*[f"{e} AS {n}" for n, e in _PEOPLE.items()])
+    raw = spread(_table(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment"), "c_custkey").selectExpr(*[f"{e} AS {n}" for n, e in _PEOPLE.items()])
     one = lambda c: F.array_compact(F.array(F.col(c)))
     return as_records(raw.withColumn("emails", one("email")).withColumn("phones", one("phone")).withColumn("skills", one("skill")))
 

@@ -8,7 +8,7 @@ import json
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
-from braidwork.functions.text import split_list, trim_ws
+from braidwork.functions.text import let, split_list, trim_ws
 
 # Other names in use.
 ALIASES = {
@@ -41,13 +41,19 @@ def normalize_country(raw: Column) -> Column:
 
 def parse_location(raw: Column) -> Column:
     """struct<city, region, country> of up to three comma-separated parts; more are ignored."""
-    parts = F.filter(F.transform(F.split(raw, ","), trim_ws), lambda x: x != "")
+    return let(F.filter(F.transform(F.split(raw, ","), trim_ws), lambda x: x != ""), _placed)
+
+
+def _placed(parts: Column) -> Column:
     n, at = F.size(parts), lambda i: F.get(parts, F.lit(i))
     none = F.lit(None).cast("string")
-    code = normalize_country(F.when(n == 1, at(0)).when(n == 2, at(1)).when(n > 2, at(2)))
-    city = F.when((n > 1) | code.isNull(), at(0)).otherwise(none)
-    region = F.when(n > 2, at(1)).when((n == 2) & code.isNull(), at(1)).otherwise(none)
-    return F.struct(city.alias("city"), region.alias("region"), code.alias("country"))
+
+    def of(code):
+        city = F.when((n > 1) | code.isNull(), at(0)).otherwise(none)
+        region = F.when(n > 2, at(1)).when((n == 2) & code.isNull(), at(1)).otherwise(none)
+        return F.struct(city.alias("city"), region.alias("region"), code.alias("country"))
+
+    return let(normalize_country(F.when(n == 1, at(0)).when(n == 2, at(1)).when(n > 2, at(2))), of)
 
 
 __all__ = ["ALIASES", "normalize_country", "parse_location", "split_list"]

@@ -11,7 +11,7 @@ from braidwork.config import EngineConfig, ProjectionConfig
 from braidwork.functions.phones import normalize_phone
 from braidwork.functions.places import normalize_country, parse_location
 from braidwork.functions.skills import with_skills
-from braidwork.functions.text import person_name, trim_ws
+from braidwork.functions.text import let, person_name, trim_ws
 from braidwork.operators import fuse, match, score
 from braidwork.operators.project import project
 from braidwork.operators.validate import rejection_rows, validate
@@ -46,7 +46,10 @@ def _inferred(education: str, as_of_year: int | None) -> Column:
         current = F.coalesce(end >= now, F.lit(False)) | F.coalesce((start <= now) & (end.isNull() | (end >= now)), F.lit(False))
         return F.struct((~current).alias("past"), (-F.coalesce(end, F.when(current, start), F.lit(0))).alias("rank"), i.alias("i"), end.alias("end"), e["location"].alias("location"), e["field"].alias("field"), e["institution"].alias("institution"))
 
-    best = F.get(F.array_sort(F.filter(F.transform(education, ranked), lambda x: ~x["past"] | x["end"].isNotNull())), F.lit(0))
+    return let(F.get(F.array_sort(F.filter(F.transform(education, ranked), lambda x: ~x["past"] | x["end"].isNotNull())), F.lit(0)), _place_of)
+
+
+def _place_of(best: Column) -> Column:
     school = F.coalesce(best["institution"], F.lit(""))
     tail = trim_ws(F.element_at(F.split(school, ","), -1))
     words = ("bachelor", "master", "technology", "engineering", "science")  # fixed values
@@ -54,8 +57,7 @@ def _inferred(education: str, as_of_year: int | None) -> Column:
     india = F.lower(school).rlike("india|nit|iit|iiit|delhi|mumbai|bangalore|chandigarh")  # fixed values
     none = F.lit(None).cast("string")
     from_tail = F.struct(tail.alias("city"), none.alias("region"), F.when(india, normalize_country(F.lit("India"))).alias("country"))
-    some = lambda p: p["city"].isNotNull() | p["country"].isNotNull()
-    of = lambda c: F.when(some(parse_location(c)), parse_location(c))
+    of = lambda c: let(parse_location(c), lambda p: F.when(p["city"].isNotNull() | p["country"].isNotNull(), p))
     commas = F.size(F.split(school, ",")) - 1
     return F.coalesce(of(best["location"]), F.when(best["field"].contains(","), of(best["field"])), F.when(commas >= 2, of(school)), F.when(usable, from_tail))
 

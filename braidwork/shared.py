@@ -41,6 +41,6 @@ TASKS_PER_CORE = 4
 
 
 def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """df dealt out by keys, where it comes in fewer tasks than that: a file of a few MB is one task, whatever is to be done for each of its rows."""
+    """df, as read from files, dealt out by keys where it comes in fewer tasks than that: a file of a few MB is one task, whatever is to be done for each of its rows."""
     least = TASKS_PER_CORE * df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(least, *keys) if df.rdd.getNumPartitions() < least else df

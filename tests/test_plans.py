@@ -1,8 +1,11 @@
 """What queries cost, read from their plans: nothing is worked out twice, and a small file does not make one task."""
 
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
+from braidwork import catalogue
+from braidwork.functions import dates, phones, places
 from braidwork.shared import spread
 from braidwork.sources import resume
 
@@ -16,14 +19,21 @@ def customers(spark, tmp_path_factory):
     return str(d)
 
 
+def _plan(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
 @pytest.mark.parametrize("name", ["resume_education", "resume_fields", "resume_jobs", "resume_projects", "resume_sections"])
 def test_a_text_is_split_once(spark, customers, name):
     df = entry.queries()[name](spark, customers)
-    plan = df._jdf.queryExecution().optimizedPlan().toString()
-    assert plan.count(r"\r\n|\n|\r") == 1
+    assert _plan(df).count(r"\r\n|\n|\r") == 1
     assert df.rdd.getNumPartitions() > 1
 
 
+def test_people_come_in_many_tasks(spark, customers):
+    assert catalogue.people(spark, customers).rdd.getNumPartitions() > 1
+
+
 def test_entries_of_none(spark):
     df = spark.createDataFrame([(1, "a", PERSON, []), (2, "b", "", []), (3, "c", None, [])], "rec_id long, source_file string, text string, parse_errors array<string>")
     r = resume.from_text(df)
