@@ -323,7 +323,7 @@ def normalize_records(spark, sf_dir):
 
 def severities(spark, sf_dir):
     """Addresses, numbers and dates of neighbours, classed."""
-    c = _table(spark, sf_dir, "customer").select("c_custkey")
+    c = spread(_table(spark, sf_dir, "customer").select("c_custkey"), "c_custkey")
     k = F.col("c_custkey")
     mail = lambda a, b: F.concat(F.lit("u"), (k % a).cast("string"), F.lit("@d"), (k % b).cast("string"), F.lit(".com"))
     phone = lambda p: F.concat(F.lit(p), F.lpad((k % 1000).cast("string"), 4, "0"), F.lit("1"))

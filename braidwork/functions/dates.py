@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from braidwork.functions.text import is_present, safe_lower
+from braidwork.functions.text import PRESENT, let, safe_lower
 
 # Month names and their short forms.
 MONTHS = ("january", "february", "march", "april", "may", "june", "july", "august", "september", "october", "november", "december")
@@ -18,13 +18,16 @@ def _month(word: Column) -> Column:
 
 def normalize_date(raw: Column) -> Column:
     """YYYY-MM, or null for what is no date or an open end. The first form that fits decides; a lone year means January."""
-    c = safe_lower(raw)
+    return F.when(raw.isNotNull(), let(safe_lower(raw), _normalized))
+
+
+def _normalized(c: Column) -> Column:
     part = lambda pattern, k: F.regexp_extract(c, pattern, k)
     named, back = r"(?U)^([a-z]+)\s+(\d{4})$", r"(?U)^(\d{4})\s+([a-z]+)$"
     month_year, year_month = r"^(\d{1,2})[/\-](\d{4})$", r"^(\d{4})[/\.\-](\d{1,2})$"
     year = F.regexp_extract(c, r"(?U)\b(\d{4})\b", 1)
     return (
-        F.when(raw.isNull() | is_present(raw), None)
+        F.when(c.isin(*PRESENT), None)
         .when(c.rlike(r"^\d{4}-\d{2}$"), c)
         .when(c.rlike(r"^\d{4}$"), F.concat(c, F.lit("-01")))
         .when(c.rlike(named) & _month(part(named, 1)).isNotNull(), F.concat(part(named, 2), F.lit("-"), _month(part(named, 1))))

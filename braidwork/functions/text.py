@@ -40,10 +40,6 @@ def company_key(c: Column) -> Column:
     return person_name(bare)
 
 
-def is_present(c: Column) -> Column:
-    return safe_lower(c).isin(*PRESENT)
-
-
 def slugify(c: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(F.lower(trim_ws(c)), r"(?U)[^\w\s-]", ""), r"(?U)[\s_-]+", "-")
 

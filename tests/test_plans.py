@@ -30,6 +30,13 @@ def test_a_text_is_split_once(spark, customers, name):
     assert df.rdd.getNumPartitions() > 1
 
 
+def test_scalars_trim_once(spark, customers):
+    df = spark.createDataFrame([("+91 98765 43210", " India ", "Jan 2020")], "phone string, place string, date string")
+    for c in (phones.normalize_phone(F.col("phone")), places.parse_location(F.col("place")), dates.normalize_date(F.col("date"))):
+        assert _plan(df.select(c.alias("x"))).count(r"(?U)^\s+|\s+$") <= 2
+    assert entry.queries()["severities"](spark, customers).rdd.getNumPartitions() > 1
+
+
 def test_people_come_in_many_tasks(spark, customers):
     assert catalogue.people(spark, customers).rdd.getNumPartitions() > 1
 
